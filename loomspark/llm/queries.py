@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import leakage, tokenize, twins
+from loomspark.llm import leakage, near, tokenize, twins
 from loomspark.session import table
 
 
@@ -17,6 +17,14 @@ def p1_fused(spark: SparkSession, root: str) -> DataFrame:
     return twins.fused_values(*(table(spark, root, t) for t in ("candidates", "twin_features", "signals")))
 
 
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return near.candidate_pairs(table(spark, root, "candidates"))
+
+
+def p2_classes(spark: SparkSession, root: str) -> DataFrame:
+    return near.candidate_classes(table(spark, root, "candidates")).select(F.col("id").alias("candidate_id"), "class_id", "links")
+
+
 def p7_ids(spark: SparkSession, root: str) -> DataFrame:
     return tokenize.encode_texts(table(spark, root, "documents"))
 
@@ -29,7 +37,7 @@ def p8_items(spark: SparkSession, root: str) -> DataFrame:
     return leakage.leaked_items(table(spark, root, "documents"), table(spark, root, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_fused": p1_fused, "p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items}
+QUERIES = {"p1_found": p1_found, "p1_fused": p1_fused, "p2_found": p2_found, "p2_classes": p2_classes, "p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items}
 
 _SPACE = r"[\t-\r\x1c-\x20\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 _NORM = " || chr(1) || ".join(f"coalesce(trim(regexp_replace(lower({c}), '{_SPACE}', ' ', 'g')), '')" for c in ("anonymized_name", "headline", "summary", "skill_names_json"))
@@ -44,6 +52,18 @@ run as (select doc_id, item_id, shift, k, count(*) as n from isl group by 1, 2,
 """
 
 SQL = {
+    "p2_found": """
+with recursive f as (
+  select distinct candidate_id as id, list_filter(regexp_split_to_array(lower(concat_ws(' ', coalesce(anonymized_name, ''), coalesce(headline, ''), coalesce(summary, ''),
+    array_to_string(list_filter(coalesce(try_cast(skill_names_json as json)::varchar[], []), lambda x: x is not null), ' '))), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') as w
+  from candidates where candidate_id is not null
+), n as (select id, len(w) as n from f),
+t as (select id, x as word, count(*) as k from f, unnest(w) as u(x) group by 1, 2),
+p as (select a.id as a, b.id as b, sum(least(a.k, b.k)) as c from t a join t b on a.word = b.word and a.id <> b.id group by 1, 2),
+e as (select a, b from p join n na on na.id = a join n nb on nb.id = b where c >= 0.7 * (na.n + nb.n - c) - 1e-9),
+r(a, b) as (select a, b from e union select r.a, e.b from r join e on e.a = r.b)
+select distinct a as candidate_a, b as candidate_b from r where a < b
+""",
     "p1_found": f"""
 with m as (select distinct candidate_id as id, {_NORM} as k from candidates where candidate_id is not null),
 g as (select k, min(id) as g from m group by k having count(*) > 1),
