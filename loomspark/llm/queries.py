@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import leakage, near, tokenize, twins
+from loomspark.llm import leakage, near, spans, tokenize, twins
 from loomspark.session import table
 
 
@@ -37,7 +37,19 @@ def p8_items(spark: SparkSession, root: str) -> DataFrame:
     return leakage.leaked_items(table(spark, root, "documents"), table(spark, root, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_fused": p1_fused, "p2_found": p2_found, "p2_classes": p2_classes, "p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items}
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    return spans.shared_spans(table(spark, root, "documents"))
+
+
+def p9_share(spark: SparkSession, root: str) -> DataFrame:
+    return spans.shared_share(table(spark, root, "documents"))
+
+
+def p9_passages(spark: SparkSession, root: str) -> DataFrame:
+    return spans.passages(table(spark, root, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_fused": p1_fused, "p2_found": p2_found, "p2_classes": p2_classes, "p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_share": p9_share, "p9_passages": p9_passages}
 
 _SPACE = r"[\t-\r\x1c-\x20\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 _NORM = " || chr(1) || ".join(f"coalesce(trim(regexp_replace(lower({c}), '{_SPACE}', ' ', 'g')), '')" for c in ("anonymized_name", "headline", "summary", "skill_names_json"))
@@ -51,7 +63,23 @@ isl as (select *, q - row_number() over (partition by doc_id, item_id, shift ord
 run as (select doc_id, item_id, shift, k, count(*) as n from isl group by 1, 2, 3, 4 having count(*) >= 13)
 """
 
+_SPANS = """
+with d as (select distinct doc_id, text from documents where doc_id is not null and length(text) >= 300),
+w as (select doc_id, i, substr(text, i + 1, 300) as s from d, unnest(range(0, length(text) - 299)) as t(i)),
+g as (select s from w group by s having min(doc_id) <> max(doc_id)),
+h as (select doc_id, i from w join g using (s)),
+n as (select *, case when i - lag(i) over (partition by doc_id order by i) <= 300 then 0 else 1 end as nw from h),
+k as (select *, sum(nw) over (partition by doc_id order by i) as k from n),
+sp as (select doc_id, min(i) as span_start, max(i) + 300 as span_end from k group by doc_id, k)
+"""
+
 SQL = {
+    "p9_found": _SPANS + "select * from sp",
+    "p9_share": _SPANS + """
+, x as (select doc_id, cast(sum(span_end - span_start) as bigint) as n from sp group by 1)
+select d.doc_id, coalesce(x.n, 0) as shared_chars, d.chars, case when d.chars > 0 then round(coalesce(x.n, 0) / d.chars, 6) else 0.0 end as share
+from (select doc_id, max(coalesce(length(text), 0)) as chars from documents where doc_id is not null group by 1) d left join x on x.doc_id = d.doc_id
+""",
     "p2_found": """
 with recursive f as (
   select distinct candidate_id as id, list_filter(regexp_split_to_array(lower(concat_ws(' ', coalesce(anonymized_name, ''), coalesce(headline, ''), coalesce(summary, ''),
