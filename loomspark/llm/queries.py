@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.llm import leakage, names, near, spans, tokenize, twins
+from loomspark.llm import canonical, leakage, names, near, spans, tokenize, twins
 from loomspark.session import table
 
 
@@ -37,6 +37,14 @@ def p3_classes(spark: SparkSession, root: str) -> DataFrame:
     return names.organisation_classes(_names(spark, root))
 
 
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    return canonical.mapped(*(table(spark, root, t) for t in ("candidates", "skills", "ref_titles", "ref_skills")))
+
+
+def p6_misses(spark: SparkSession, root: str) -> DataFrame:
+    return p6_found(spark, root).where("ref_id = 0").groupBy("field_name").agg(F.count("*").alias("values"))
+
+
 def p7_ids(spark: SparkSession, root: str) -> DataFrame:
     return tokenize.encode_texts(table(spark, root, "documents"))
 
@@ -61,7 +69,7 @@ def p9_passages(spark: SparkSession, root: str) -> DataFrame:
     return spans.passages(table(spark, root, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_fused": p1_fused, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_classes": p3_classes, "p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_share": p9_share, "p9_passages": p9_passages}
+QUERIES = {"p1_found": p1_found, "p1_fused": p1_fused, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_classes": p3_classes, "p6_found": p6_found, "p6_misses": p6_misses, "p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items, "p9_found": p9_found, "p9_share": p9_share, "p9_passages": p9_passages}
 
 _SPACE = r"[\t-\r\x1c-\x20\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 _NORM = " || chr(1) || ".join(f"coalesce(trim(regexp_replace(lower({c}), '{_SPACE}', ' ', 'g')), '')" for c in ("anonymized_name", "headline", "summary", "skill_names_json"))
