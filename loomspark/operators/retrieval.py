@@ -10,6 +10,8 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from loomspark.operators.requirement import Requirement
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
+VECTOR_SIZE = 64
 FALLBACK_QUERY = "Software Engineer"
 
 
@@ -80,11 +83,18 @@ def hybrid(docs: DataFrame, key: str, text: str, vector: str, query: str, query_
     return top.withColumn("combined_rank", F.row_number().over(Window.orderBy(*order))).select(key, "bm25_rank", "bm25_score", "dense_rank", "dense_score", "rrf_score", "combined_rank")
 
 
-def hashed_vector(text: Column, size: int = 64) -> Column:
-    """A deterministic stand-in for a sentence encoder: signed counts of hashed tokens, as an array of ``size`` doubles."""
-    h = F.transform(tokens(text), lambda t: F.xxhash64(t))
-    at = lambda i: F.aggregate(F.filter(h, lambda x: F.pmod(x, F.lit(size)) == i), F.lit(0.0), lambda s, x: s + F.when(F.shiftright(x, 40).bitwiseAND(1) == 1, 1.0).otherwise(-1.0))
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), at)
+@F.pandas_udf("array<double>")
+def _signed_counts(hashes: pd.Series) -> pd.Series:
+    def one(h):
+        h = np.asarray(h, dtype=np.int64)
+        return np.bincount(h % VECTOR_SIZE, np.where((h >> 40) & 1 == 1, 1.0, -1.0), VECTOR_SIZE)
+
+    return hashes.map(one)
+
+
+def hashed_vector(text: Column) -> Column:
+    """A deterministic stand-in for a sentence encoder: signed counts of hashed tokens, an array of ``VECTOR_SIZE`` doubles."""
+    return _signed_counts(F.transform(tokens(F.coalesce(text, F.lit(""))), lambda t: F.xxhash64(t)))
 
 
 def encode_missing(docs: DataFrame, text: str, cache: DataFrame, model: str, encoder: Callable[[Column], Column] = hashed_vector) -> tuple[DataFrame, DataFrame]:
