@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +28,9 @@ from loomspark.llm.components import components
 from loomspark.session import materialise
 
 BRANCH = 2
-SMALL = 48
+SMALL = 200
 LEVELS = 7
-RECALL = 0.9999
+RECALL = 0.999
 SKETCH_WORDS = 4
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -145,17 +146,17 @@ def similar_pairs(nodes: DataFrame, threshold: float, recall: float = RECALL, sm
     Within a bucket that its first node links as a whole, the links to that node stand for all others. ``nodes``: one row
     per distinct set, as :func:`word_sets` gives. Empty sets link to nothing.
     """
-    spark = nodes.sparkSession
     seeds = F.lit([1_000_003 * (r + 1) for r in range(roots(threshold, recall))])
     cols = ["size", "s0", "s1", "s2", "s3"]
     level = nodes.where("size > 0").select("node", *cols, "tokens", F.transform(seeds, lambda x: x.cast("bigint")).alias("paths")).mapInArrow(_grow(BRANCH), _BUCKET)
     found: list[DataFrame] = []
+    possible: list[DataFrame] = []
     for depth in range(1, levels + 1):
         rows = materialise(level)
         size = materialise(rows.groupBy("path").agg(F.count("*").alias("n"), F.min_by(F.struct("node", *cols), "node").alias("first")).where("n > 1"))
         few = rows.join(size.where(F.col("n") <= small).select("path"), "path")
         pairs = few.alias("x").join(few.alias("y"), (F.col("x.path") == F.col("y.path")) & (F.col("x.node") < F.col("y.node")) & _possible("x", "y", threshold)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        found.append(materialise(_verified(pairs.distinct(), nodes, threshold)))
+        possible.append(materialise(pairs.distinct()))
         big = size.where(F.col("n") > small)
         if big.isEmpty():
             break
@@ -171,14 +172,13 @@ def similar_pairs(nodes: DataFrame, threshold: float, recall: float = RECALL, sm
         if depth == levels:
             alone = rest.where("hit = 0").alias("x")
             pairs = alone.join(rest.alias("y"), (F.col("x.path") == F.col("y.path")) & (F.col("x.node") != F.col("y.node")) & _possible("x", "y", threshold)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-            found.append(_verified(pairs.distinct(), nodes, threshold))
+            possible.append(pairs)
             break
         paths = rest.groupBy("node").agg(F.collect_set("path").alias("paths"))
         level = nodes.join(paths, "node").select("node", *cols, "tokens", "paths").mapInArrow(_grow(BRANCH), _BUCKET)
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.distinct()
+    # what the buckets of all levels let through is verified once
+    pairs = reduce(DataFrame.unionByName, possible).distinct()
+    return reduce(DataFrame.unionByName, found, _verified(pairs, nodes, threshold)).distinct()
 
 
 def near_classes(df: DataFrame, key: str, content: Column, threshold: float, recall: float = RECALL) -> DataFrame:
