@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from loomspark.functions.text import tokens
 from loomspark.operators.requirement import Requirement
@@ -83,7 +84,6 @@ def hybrid(docs: DataFrame, key: str, text: str, vector: str, query: str, query_
     return top.withColumn("combined_rank", F.row_number().over(Window.orderBy(*order))).select(key, "bm25_rank", "bm25_score", "dense_rank", "dense_score", "rrf_score", "combined_rank")
 
 
-@F.pandas_udf("array<double>")
 def _signed_counts(hashes: pd.Series) -> pd.Series:
     def one(h):
         h = np.asarray(h, dtype=np.int64)
@@ -94,7 +94,8 @@ def _signed_counts(hashes: pd.Series) -> pd.Series:
 
 def hashed_vector(text: Column) -> Column:
     """A deterministic stand-in for a sentence encoder: signed counts of hashed tokens, an array of ``VECTOR_SIZE`` doubles."""
-    return _signed_counts(F.transform(tokens(F.coalesce(text, F.lit(""))), lambda t: F.xxhash64(t)))
+    counts = F.pandas_udf(_signed_counts, ArrayType(DoubleType()))
+    return counts(F.transform(tokens(F.coalesce(text, F.lit(""))), lambda t: F.xxhash64(t)))
 
 
 def encode_missing(docs: DataFrame, text: str, cache: DataFrame, model: str, encoder: Callable[[Column], Column] = hashed_vector) -> tuple[DataFrame, DataFrame]:

@@ -545,10 +545,10 @@ def _judged(spark, root) -> DataFrame:
 with m as (select candidate_id, 0.7 * ({_ratio_sql(_REQ)}) + 0.3 * ({_ratio_sql(_PREF)}) as sk, coalesce(years_of_experience, 0.0) as y from ({_FLAT})),
 p as (select * from (values (0, 3.0, 2.0), (1, 5.0, 1.0), (2, 1.5, 4.5), (3, 2.0, 1.5), (4, 3.0, 2.0)) as t(persona, ws, we))
 select candidate_id, cast(persona as bigint) as persona, round(ws * sk + we * ((case when y >= 5 then 1.0 else greatest(0.0, 1.0 - (5 - y) * 0.5) end) + (case when y <= 9 then 1.0 else greatest(0.0, 1.0 - (y - 9) * 0.5) end)) / 2.0
-  - case when y < 5 then (5 - y) * 4 when y > 9 then (y - 9) * 3 else 0 end, 6) as utility from m, p""")
+  - case when y < 5 then (5 - y) * 4 when y > 9 then (y - 9) * 3 else 0 end, 6) + 0.0 as utility from m, p""")
 def ml_persona_utility(spark, root):
     d = _judged(spark, root).select("candidate_id", "years_of_experience", "feat_skills_match_score", "feat_experience_match_score")
-    return ranker.persona_utilities(d).select("candidate_id", F.col("persona").cast("bigint").alias("persona"), F.round("utility", 6).alias("utility"))
+    return ranker.persona_utilities(d).select("candidate_id", F.col("persona").cast("bigint").alias("persona"), (F.round("utility", 6) + 0.0).alias("utility"))
 
 
 @query("ml_relevance_bins", """
@@ -584,10 +584,10 @@ def rt_encode(spark, root):
 _SCORED = f"select candidate_id, years_of_experience as y, notice_period_days as nd from {CAND}"
 
 
-@query("fs_adjusted_score", f"select candidate_id, round(10.0 - (case when coalesce(y, 0.0) < 5 then (5 - coalesce(y, 0.0)) * 10 when y > 9 then (y - 9) * 8 else 0.0 end) - (case when nd > 30 then (nd - 30) * 0.1 else 0.0 end), 6) as score from ({_SCORED})")
+@query("fs_adjusted_score", f"select candidate_id, round(10.0 - (case when coalesce(y, 0.0) < 5 then (5 - coalesce(y, 0.0)) * 10 when y > 9 then (y - 9) * 8 else 0.0 end) - (case when nd > 30 then (nd - 30) * 0.1 else 0.0 end), 6) + 0.0 as score from ({_SCORED})")
 def fs_adjusted_score(spark, root):
     d = assemble.candidates(spark, root).select("candidate_id", "years_of_experience", "notice_period_days", F.lit(10.0).alias("score"))
-    return d.select("candidate_id", F.round(scoring.adjusted_score(d), 6).alias("score"))
+    return d.select("candidate_id", (F.round(scoring.adjusted_score(d), 6) + 0.0).alias("score"))
 
 
 @query("fs_minmax", "select o_orderkey, round((o_totalprice - min(o_totalprice) over ()) / (max(o_totalprice) over () - min(o_totalprice) over ()) * 100.0, 4) as score from orders")
