@@ -32,7 +32,8 @@ SHORT = {
     "mgr": "manager", "mngr": "manager", "mgmt": "management", "admin": "administrator administration", "adm": "administrator",
     "db": "database", "ux": "userexperience", "sw": "software", "softw": "software", "sys": "systems", "ops": "operations",
     "prod": "product", "tech": "technical", "fin": "financial", "mktg": "marketing", "sci": "scientist", "rsrch": "research",
-    "anlst": "analyst", "supvr": "supervisor", "coord": "coordinator", "spec": "specialist", "splst": "specialist", "archt": "architect", "scntst": "scientist",
+    "anlst": "analyst", "supvr": "supervisor", "coord": "coordinator", "spec": "specialist", "splst": "specialist", "archt": "architect", "arch": "architect", "conslt": "consultant", "scntst": "scientist",
+    "sre": "sitereliabilityengineer", "ir": "informationretrieval", "ci": "continuousintegration", "nlp": "naturallanguageprocessing",
 }
 # Words that say how a post or skill is held, not which one it is.
 NOISE = set("contract full part time hands on ii iii iv i certified basic advanced beginner intermediate expert freelance remote permanent level years of".split())
@@ -79,6 +80,7 @@ class DeleteIndex:
 
     def __init__(self, spellings: dict[str, object]):
         self.values = spellings
+        self.longest = max(map(len, spellings), default=0)
         self.by_deletion: dict[str, set[str]] = defaultdict(set)
         for s in spellings:
             for d in deletions(s, allowed(len(s))):
@@ -88,6 +90,8 @@ class DeleteIndex:
         """(weight, spelling) of all within the allowed distance."""
         if q in self.values:
             return [(0.0, q)]
+        if len(q) > self.longest + 2:
+            return []
         found = {s for d in deletions(q, allowed(len(q))) for s in self.by_deletion.get(d, ())}
         out = []
         for s in found:
@@ -102,14 +106,15 @@ class Canonicaliser:
 
     def __init__(self, entries: list[tuple[int, str, int]]):
         split = {i: tuple(re.findall(r"[^\W_]+", fold(t).lower())) for i, t, _ in entries}
+        split = {i: ws for i, ws in split.items() if ws}
         self.frequency = {i: n for i, _, n in entries}
         first, inner = defaultdict(set), set()
         for ws in split.values():
             first[ws[0]].add(ws[1:])
             inner |= set(ws[1:])
-        # a first word with three remainders, some of which stand alone, that begins names only, is a level
+        # a first word with several remainders, some of which stand alone, that begins names only, is a level
         alone = set(split.values())
-        self.levels = {w for w, rest in first.items() if len(rest) >= 3 and w not in inner and any(r in alone for r in rest)}
+        self.levels = {w for w, rest in first.items() if len(rest) >= 2 and w not in inner and any(r in alone for r in rest)}
         self.entry: dict[tuple[str, str], int] = {}
         roles: dict[str, tuple[str, ...]] = {}
         for i, ws in sorted(split.items()):
@@ -133,7 +138,7 @@ class Canonicaliser:
         self.index = DeleteIndex(spell)
         self.words = {w for r in roles.values() for w in r} | self.levels
         self.word_index = DeleteIndex(dict.fromkeys(self.words))
-        self.most_words = max(map(len, roles.values()))
+        self.most_words = max(map(len, roles.values()), default=0)
         self.initials: dict[str, set[str]] = defaultdict(set)
         self.whole_initials: dict[str, set[str]] = defaultdict(set)
         for key, r in roles.items():
@@ -160,6 +165,8 @@ class Canonicaliser:
 
     def expand(self, word: str, deep: bool = True) -> list[tuple[float, str]]:
         """(weight, spelling) of what a word may stand for, itself with its own letters among them."""
+        if len(word) > self.index.longest + 2:
+            return [(0.0, word)]
         key = word if deep else "\0" + word
         known = self._expanded.get(key)
         if known is not None:
@@ -257,6 +264,9 @@ class Canonicaliser:
         if not free:
             kept = [(w, b) for w, b in toks if w not in NOISE and not _NUMBER.fullmatch(w)]
             roles = self.whole_initials.get("".join(w for w, _ in kept)) if len(kept) == 1 or all(len(w) == 1 for w, _ in kept) else None
+            usual = [r for w, _ in kept[:1] for r in SHORT.get("".join(x for x, _ in kept), "").split() if ("", r) in self.entry]
+            if usual:
+                return self.entry[("", usual[0])]
             if roles:
                 ids = [self.entry[("", r)] for r in roles if ("", r) in self.entry]
                 if ids:
