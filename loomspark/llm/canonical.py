@@ -357,4 +357,6 @@ def mapped(candidates: DataFrame, skills: DataFrame, ref_titles: DataFrame, ref_
     """Rows (field_name, typed_value, ref_id) of every different non-blank title, headline and skill name."""
     typed = typed_values(candidates, skills)
     refs = {"titles": _entries(ref_titles, "title", typed.where("field_name = 'current_title'")), "skills": _entries(ref_skills, "name", typed.where("field_name = 'skill_name'"))}
-    return map_values(typed.select("field_name", "typed_value"), refs, {"current_title": ("titles", False), "headline": ("titles", True), "skill_name": ("skills", False)})
+    # matching costs far more than its few bytes suggest: distinct values are spread over all cores
+    spread = typed.select("field_name", "typed_value").repartition(2 * candidates.sparkSession.sparkContext.defaultParallelism)
+    return map_values(spread, refs, {"current_title": ("titles", False), "headline": ("titles", True), "skill_name": ("skills", False)})
