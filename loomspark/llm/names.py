@@ -38,6 +38,13 @@ LEGAL = {"inc": "inc", "incorporated": "inc", "llp": "llp", "ltd": "ltd", "limit
 FILLERS = {"the", "of", "and", "for", "at", "m", "s", "ms", "messrs"}
 SAME_KIND = {"technology": "technologies", "science": "sciences", "consultants": "consulting", "laboratories": "labs", "pharmaceuticals": "pharma"}
 
+# Usual short forms of kinds.
+SHORT_KINDS = {
+    "anlytcs": "analytics", "conslt": "consulting", "hldgs": "holdings", "ind": "industries", "inds": "industries", "logstcs": "logistics", "netwks": "networks", "softw": "software",
+    "soln": "solutions", "solns": "solutions", "svcs": "services", "sys": "systems", "systms": "systems", "tech": "technologies", "technol": "technologies", "engg": "engineering",
+    "coll": "college", "inst": "institute", "sch": "school", "uni": "university", "univ": "university",
+}
+
 LEAST = -9.5
 """Log-likelihood below which a variant is taken to be a name of its own."""
 
@@ -80,6 +87,12 @@ def kind_of(word: str) -> str | None:
     """The kind that a word names, spelled in full, abbreviated or with one slip; None if it names none."""
     if word in KINDS:
         return SAME_KIND.get(word, word)
+    if word in SHORT_KINDS:
+        return SHORT_KINDS[word]
+    if len(word) >= 5:
+        slips = [k for k in SHORT_KINDS if len(k) >= 5 and distance(word, k, 1) <= 1]
+        if slips:
+            return SHORT_KINDS[slips[0]]
     if len(word) >= 3:
         # of several kinds that the word may abbreviate the one that keeps most of it: the longest common beginning, then the shortest
         fits = [k for k in KINDS if shortens(word, k) and (len(word) < 6 or word[:3] == k[:3] or len(word) >= 0.6 * len(k))]
@@ -101,6 +114,12 @@ def legal_slip(word: str) -> str | None:
     return next((x for x in LEGAL if len(x) >= 7 and distance(word, x, 1) <= 1), None)
 
 
+@lru_cache(100_000)
+def near_kind(word: str) -> bool:
+    """Whether the word is a kind or a usual short form with one slip."""
+    return len(word) >= 5 and any(len(k) >= 5 and distance(word, k, 1) <= 1 for k in (*KINDS, *SHORT_KINDS))
+
+
 def _common(a: str, b: str) -> int:
     n = 0
     while n < min(len(a), len(b)) and a[n] == b[n]:
@@ -121,7 +140,7 @@ def parse(name: str) -> tuple[tuple[str, ...], tuple[str, ...], tuple[str, ...]]
     s = re.sub(r"\b(?:[A-Za-z]\.\s?){2,}", lambda m: re.sub(r"[.\s]", "", m.group()) + " ", s)
     s = re.sub(r"(?<=[A-Za-z][a-z]{3})(?=[A-Z][a-z]{3})", " ", s)
     words = [w for w in re.findall(r"[^\W_]+", s.lower())]
-    core, kinds, legal = [], [], []
+    core, kinds, legal, guessed = [], [], [], []
     for i, w in enumerate(words):
         if w == "p" and not (i + 1 < len(words) and words[i + 1] in ("ltd", "limited")):
             core.append(w)
@@ -133,8 +152,15 @@ def parse(name: str) -> tuple[tuple[str, ...], tuple[str, ...], tuple[str, ...]]
             k = _ACRONYMS.get(w) or kind_of(w)
             if k:
                 kinds += k.split()
+                if len(w) >= 4 and w not in KINDS and w not in SHORT_KINDS and w not in _ACRONYMS and not near_kind(w):
+                    guessed.append((w, k, len(core)))
             else:
                 core.append(w)
+    if guessed and len(core) == 1:
+        # what was only guessed to shorten a kind is the name's other word
+        w, k, at = guessed[0]
+        core.insert(at, w)
+        kinds.remove(k)
     if not core:
         core, kinds = [w for w in words if w not in LEGAL and w not in FILLERS] or words, []
     return tuple(core), tuple(sorted(set(kinds))), tuple(sorted(set(legal)))

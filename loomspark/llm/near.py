@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions.text import words
 from loomspark.llm.components import components
-from loomspark.session import materialise
+from loomspark.session import discard, materialise
 
 BRANCH = 2
 SMALL = 200
@@ -151,8 +151,11 @@ def similar_pairs(nodes: DataFrame, threshold: float, recall: float = RECALL, sm
     level = nodes.where("size > 0").select("node", *cols, "tokens", F.transform(seeds, lambda x: x.cast("bigint")).alias("paths")).mapInArrow(_grow(BRANCH), _BUCKET)
     found: list[DataFrame] = []
     possible: list[DataFrame] = []
+    old: list[DataFrame] = []
     for depth in range(1, levels + 1):
         rows = materialise(level)
+        for table in old:
+            discard(table)
         size = materialise(rows.groupBy("path").agg(F.count("*").alias("n"), F.min_by(F.struct("node", *cols), "node").alias("first")).where("n > 1"))
         few = rows.join(size.where(F.col("n") <= small).select("path"), "path")
         pairs = few.alias("x").join(few.alias("y"), (F.col("x.path") == F.col("y.path")) & (F.col("x.node") < F.col("y.node")) & _possible("x", "y", threshold)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
@@ -174,6 +177,7 @@ def similar_pairs(nodes: DataFrame, threshold: float, recall: float = RECALL, sm
             pairs = alone.join(rest.alias("y"), (F.col("x.path") == F.col("y.path")) & (F.col("x.node") != F.col("y.node")) & _possible("x", "y", threshold)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
             possible.append(pairs)
             break
+        old = [rows, size, linked]
         paths = rest.groupBy("node").agg(F.collect_set("path").alias("paths"))
         level = nodes.join(paths, "node").select("node", *cols, "tokens", "paths").mapInArrow(_grow(BRANCH), _BUCKET)
     # what the buckets of all levels let through is verified once
