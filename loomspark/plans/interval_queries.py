@@ -28,7 +28,33 @@ def p5_found(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {"p4_found": p4_found, "p4_career": _flat("career"), "p4_skill": _flat("skill"), "p4_assessment": _flat("assessment"), "p4_salary": _flat("salary"), "p5_found": p5_found}
 
+
+
+def _unwrapped(x: str) -> str:
+    """SQL: an array or object written as JSON text inside a string counts as itself."""
+    return f"case when json_type({x}) = 'VARCHAR' and json_valid({x} ->> '$') then cast({x} ->> '$' as json) else {x} end"
+
+
+def _array(x: str) -> str:
+    return f"case json_type({x}) when 'ARRAY' then cast({x} as json[]) when 'OBJECT' then [{x}] else cast([] as json[]) end"
+
+
 SQL = {
+    "p4_found": f"""
+with r as (select raw_id, cast(payload as json) as j from raw_candidates where json_valid(payload)),
+o as (select * from r where json_type(j) = 'OBJECT' and regexp_matches(coalesce(j ->> '$.candidate_id', ''), '[^\\s]')),
+b as (select raw_id, {_unwrapped("(j -> '$.career_history')")} as career, {_unwrapped("(j -> '$.skills')")} as skills, {_unwrapped("(j -> '$.redrob_signals')")} as s1, {_unwrapped("(j -> '$.signals')")} as s2 from o),
+s as (select *, case when json_type(s1) = 'OBJECT' then s1 else s2 end as sig from b),
+c as (select raw_id, 'career' as child, {_array("career")} as a from s union all select raw_id, 'skill', {_array("skills")} from s),
+e as (select raw_id, child, i, a[i + 1] as x from c, unnest(range(len(a))) as t(i)),
+u as (select raw_id, child, i, {_unwrapped("x")} as x from e),
+m as (select raw_id, {_unwrapped("(sig -> '$.skill_assessment_scores')")} as scores, {_unwrapped("(sig -> '$.expected_salary_range_inr_lpa')")} as pay from s where json_type(sig) = 'OBJECT')
+select raw_id, child, cast(i as varchar) as child_key from u where json_type(x) = 'OBJECT' and (child = 'career' or regexp_matches(coalesce(x ->> '$.name', ''), '[^\\s]'))
+union all
+select raw_id, 'assessment', k from (select raw_id, scores, unnest(json_keys(scores)) as k from m where json_type(scores) = 'OBJECT') where json_type(json_extract(scores, '$."' || k || '"')) <> 'NULL'
+union all
+select raw_id, 'salary', '0' from m where json_type(pay) = 'OBJECT' and (coalesce(json_type(pay -> '$.min'), 'NULL') <> 'NULL' or coalesce(json_type(pay -> '$.max'), 'NULL') <> 'NULL')
+""",
     "p5_found": """
 with e as (
   select candidate_id, start_date as a, case when is_current then date '2026-06-21' else end_date end as b from career_entries

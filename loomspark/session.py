@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -16,6 +17,21 @@ DEFAULTS = {
 }
 
 
+_made: list[DataFrame] = []
+
+
+def _sweep() -> None:
+    """At the end of the process the tables that are left are deleted, if the session still runs."""
+    for df in _made:
+        try:
+            discard(df)
+        except Exception:
+            return
+
+
+atexit.register(_sweep)
+
+
 def get_session(app: str = "loomspark", master: str | None = None, **conf: str) -> SparkSession:
     """The running session, or a new one with the engine's defaults."""
     b = SparkSession.builder.appName(app)
@@ -54,6 +70,7 @@ def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._loom_path = path
+    _made.append(out)
     return out
 
 
@@ -62,6 +79,8 @@ def discard(df: DataFrame) -> None:
     path = getattr(df, "_loom_path", None)
     if path is None:
         return
+    df._loom_path = None
+    _made[:] = [x for x in _made if x is not df]
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
