@@ -41,12 +41,12 @@ def bm25(docs: DataFrame, key: str, text: str, query: str, k1: float = K1, b: fl
     sizes = d.select(key, F.size("_t").alias("_len"), F.filter("_t", lambda x: x.isin(list(wanted)) if wanted else F.lit(False)).alias("_hits"))
     total = d.agg(F.count("*").alias("n"), F.avg(F.size("_t")).alias("avg_len"))
     terms = d.select(F.explode(F.array_distinct("_t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    raw = terms.crossJoin(F.broadcast(total)).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))  # one row
+    raw = terms.crossJoin(F.broadcast(total)).select("term", "avg_len", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))  # one row
     mean = raw.agg(F.avg("idf").alias("mean_idf"))
-    weights = raw.where(F.col("term").isin(list(wanted))).crossJoin(F.broadcast(mean)).select("term", F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))  # one row
+    weights = raw.where(F.col("term").isin(list(wanted))).crossJoin(F.broadcast(mean)).select("term", "avg_len", F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))  # one row
     times = F.create_map(*[x for t, n in sorted(wanted.items()) for x in (F.lit(t), F.lit(float(n)))]) if wanted else F.create_map(F.lit(""), F.lit(0.0))
     hits = sizes.where(F.size("_hits") > 0).select(key, "_len", F.explode("_hits").alias("term")).groupBy(key, "_len", "term").agg(F.count("*").alias("f"))
-    scored = hits.join(weights, "term").crossJoin(F.broadcast(total.select("avg_len")))  # one row
+    scored = hits.join(weights, "term")
     part = F.element_at(times, F.col("term")) * F.col("idf") * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("_len") / F.col("avg_len")))
     sums = scored.groupBy(key).agg(F.sum(part).alias("s"))
     return d.select(key).join(sums, key, "left").select(key, F.coalesce("s", F.lit(0.0)).alias("bm25_score"))

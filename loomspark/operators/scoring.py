@@ -43,6 +43,7 @@ def min_max(df: DataFrame, score: str, to: str = "score", digits: int = 4) -> Da
 
 def reasoning(df: DataFrame) -> Column:
     """FS8-10: two sentences from the row's own facts; absent and null facts are left out or named as such."""
+    # The phrases that the sentences are made of.
     text = lambda n: F.when(F.length(F.coalesce(strip(col_or(df, n, "").cast("string")), F.lit(""))) > 0, strip(col_or(df, n, "").cast("string")))
     z = lambda n: F.coalesce(col_or(df, n, 0.0).cast("double"), F.lit(0.0))
     years = F.coalesce(col_or(df, "years_of_experience", None).cast("double"), z("total_experience"))
