@@ -31,6 +31,15 @@ def postings(docs: DataFrame, terms: DataFrame, doc: str = "doc_id", text: str =
     return materialise(tokens.join(vocabulary, "term", "left_semi"))
 
 
+def _anchors(index: DataFrame, terms: DataFrame, n: int) -> DataFrame:
+    """Rows (item, q, term, q2, term2): the rarest and second rarest term of each run of n words that the corpus could hold."""
+    df = index.groupBy("term").agg(F.count("*").alias("df"))
+    # every run of n words: its rarest and second rarest term; a term that the corpus lacks rules the run out
+    spread = terms.join(df, "term", "left").select("item", "q", "term", F.coalesce("df", F.lit(0)).alias("df"), F.explode(F.sequence(F.greatest(F.col("q") - (n - 1), F.lit(0)), F.col("q"))).alias("s"))
+    runs = spread.groupBy("item", "s").agg(F.sort_array(F.collect_set(F.struct("df", "q", "term"))).alias("t")).where(F.size("t") == n)
+    return runs.where(F.col("t")[0]["df"] > 0).select("item", F.col("t")[0]["q"].alias("q"), F.col("t")[0]["term"].alias("term"), F.col("t")[min(1, n - 1)]["q"].alias("q2"), F.col("t")[min(1, n - 1)]["term"].alias("term2")).distinct()
+
+
 def phrase_matches(docs: DataFrame, items: DataFrame, n: int = RUN, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """Matches (doc, item, shift, first_q, last_q): longest runs of at least ``n`` consecutive words of a passage.
 
@@ -38,11 +47,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, n: int = RUN, doc: str = "
     """
     terms = item_terms(items, item, item_text)
     index = postings(docs, terms, doc, text)
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    # every run of n words: its rarest and second rarest term; a term that the corpus lacks rules the run out
-    spread = terms.join(df, "term", "left").select("item", "q", "term", F.coalesce("df", F.lit(0)).alias("df"), F.explode(F.sequence(F.greatest(F.col("q") - (n - 1), F.lit(0)), F.col("q"))).alias("s"))
-    runs = spread.groupBy("item", "s").agg(F.sort_array(F.collect_set(F.struct("df", "q", "term"))).alias("t")).where(F.size("t") == n)
-    anchors = runs.where(F.col("t")[0]["df"] > 0).select("item", F.col("t")[0]["q"].alias("q"), F.col("t")[0]["term"].alias("term"), F.col("t")[min(1, n - 1)]["q"].alias("q2"), F.col("t")[min(1, n - 1)]["term"].alias("term2")).distinct()
+    anchors = _anchors(index, terms, n)
     first = index.join(anchors, "term").select("doc", "item", (F.col("p") - F.col("q")).alias("shift"), "q2", "term2")
     second = first.withColumn("p", F.col("shift") + F.col("q2")).join(index.withColumnRenamed("term", "term2"), ["doc", "p", "term2"], "left_semi").select("doc", "item", "shift").distinct()
     wanted = second.join(terms, "item").select("doc", (F.col("q") + F.col("shift")).alias("p"), "term", "item", "shift", "q")
@@ -52,6 +57,26 @@ def phrase_matches(docs: DataFrame, items: DataFrame, n: int = RUN, doc: str = "
     return islands.groupBy("doc", "item", "shift", "k").agg(F.min("q").alias("first_q"), F.max("q").alias("last_q")).where(F.col("last_q") - F.col("first_q") >= n - 1).drop("k")
 
 
+def proximity_matches(docs: DataFrame, items: DataFrame, n: int = RUN, slack: int = 5, share: float = 0.6, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Rows (doc, item, share): passages whose words stand near each other, though words may be lost, added or moved.
+
+    Two different anchors must lie within one band of ``2 * slack`` shifts, and at least ``share`` of the passage's words at
+    shifts of that band; the best band counts. Bands overlap by half. Passages of fewer than ``n`` words have no anchors.
+    """
+    terms = item_terms(items, item, item_text)
+    index = postings(docs, terms, doc, text)
+    anchors = _anchors(index, terms, n).select("item", "q", "term").distinct()
+    shift = F.col("p") - F.col("q")
+    band = F.floor(shift / slack)
+    first = index.join(anchors, "term").select("doc", "item", "q", F.explode(F.array(band, band + 1)).alias("band"))
+    bands = first.groupBy("doc", "item", "band").agg(F.min("q").alias("a"), F.max("q").alias("z")).where("a <> z").select("doc", "item", "band")
+    near = bands.join(terms, "item").join(index, ["doc", "term"]).where((shift >= (F.col("band") - 1) * slack) & (shift < (F.col("band") + 1) * slack))
+    found = near.select("doc", "item", "band", "q").distinct().groupBy("doc", "item", "band").agg(F.count("*").alias("k"))
+    size = terms.groupBy("item").agg(F.count("*").alias("m"))
+    best = found.join(size, "item").groupBy("doc", "item").agg(F.max(F.col("k") / F.col("m")).alias("share"))
+    return best.where(F.col("share") >= share)
+
+
 def leaked(docs: DataFrame, items: DataFrame, n: int = RUN) -> DataFrame:
     """Rows (doc_id, item_id), each once: documents with at least ``n`` consecutive words of a passage."""
     return phrase_matches(docs, items, n).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).distinct()
