@@ -17,6 +17,8 @@ from loomspark.functions.text import words
 from loomspark.session import materialise
 
 RUN = 13
+EXTRA = 3
+"""Places of a passage's prefix that must be held beside one: more are read, fewer candidates are checked."""
 
 
 def item_terms(items: DataFrame, item: str = "item_id", text: str = "text") -> DataFrame:
@@ -62,6 +64,7 @@ def proximity_matches(docs: DataFrame, items: DataFrame, n: int = RUN, slack: in
 
     Two different anchors must lie within one band of ``2 * slack`` shifts, and at least ``share`` of the passage's words at
     shifts of that band; the best band counts. Bands overlap by half. Passages of fewer than ``n`` words have no anchors.
+    Matches that hold fewer than two anchors are left out: :func:`near_passages` returns all.
     """
     terms = item_terms(items, item, item_text)
     index = postings(docs, terms, doc, text)
@@ -77,6 +80,40 @@ def proximity_matches(docs: DataFrame, items: DataFrame, n: int = RUN, slack: in
     return best.where(F.col("share") >= share)
 
 
+def _prefix(index: DataFrame, terms: DataFrame, share: float, extra: int) -> DataFrame:
+    """Rows (item, q, term, least): the rarest places of each passage, of which a match must hold at least ``least``.
+
+    A match holds ``need`` of a passage's ``m`` places, so that it lacks ``m - need`` at most: of any ``m - need + least``
+    places it holds at least ``least``. Terms that the corpus lacks use up places.
+    """
+    df = index.groupBy("term").agg(F.count("*").alias("df"))
+    size = terms.groupBy("item").agg(F.count("*").alias("m"))
+    need = F.greatest(F.ceil(F.col("m") * share - 1e-9), F.lit(1))
+    ranked = terms.join(df, "term", "left").withColumn("r", F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("df", F.lit(0)), "q", "term")))
+    sized = ranked.join(size, "item").withColumn("need", need).withColumn("least", F.least(F.col("need"), F.lit(1 + extra)))
+    return sized.where(F.col("df").isNotNull() & (F.col("r") <= F.col("m") - F.col("need") + F.col("least"))).select("item", "q", "term", "least")
+
+
+def near_passages(docs: DataFrame, items: DataFrame, n: int = RUN, slack: int = 5, share: float = 0.6, extra: int = EXTRA, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Rows (doc, item, share): all passages of which at least ``share`` of the words stand within one band of ``2 * slack`` shifts.
+
+    The best band counts; bands overlap by half. Candidates come from :func:`_prefix`, which loses none, whichever words
+    were lost, added or moved; ``extra`` only says how many are checked. Passages of fewer than ``n`` words match nothing.
+    """
+    terms = item_terms(items, item, item_text)
+    terms = terms.join(terms.groupBy("item").agg(F.max("q").alias("z")).where(F.col("z") >= n - 1).select("item"), "item", "left_semi")
+    index = postings(docs, terms, doc, text)
+    shift = F.col("p") - F.col("q")
+    band = F.floor(shift / slack)
+    first = index.join(_prefix(index, terms, share, extra), "term").select("doc", "item", "least", F.explode(F.array(band, band + 1)).alias("band"))
+    bands = first.groupBy("doc", "item", "band", "least").agg(F.count("*").alias("hits")).where("hits >= least").select("doc", "item", "band")
+    near = bands.join(terms, "item").join(index, ["doc", "term"]).where((shift >= (F.col("band") - 1) * slack) & (shift < (F.col("band") + 1) * slack))
+    found = near.select("doc", "item", "band", "q").distinct().groupBy("doc", "item", "band").agg(F.count("*").alias("k"))
+    size = terms.groupBy("item").agg(F.count("*").alias("m"))
+    best = found.join(size, "item").groupBy("doc", "item").agg(F.max(F.col("k") / F.col("m")).alias("share"))
+    return best.where(F.col("share") >= share)
+
+
 def leaked(docs: DataFrame, items: DataFrame, n: int = RUN) -> DataFrame:
     """Rows (doc_id, item_id), each once: documents with at least ``n`` consecutive words of a passage."""
     return phrase_matches(docs, items, n).select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).distinct()

@@ -58,7 +58,7 @@ def p8_items(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p8_near(spark: SparkSession, root: str) -> DataFrame:
-    m = leakage.proximity_matches(table(spark, root, "documents"), table(spark, root, "eval_items"))
+    m = leakage.near_passages(table(spark, root, "documents"), table(spark, root, "eval_items"))
     return m.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), F.round("share", 6).alias("share"))
 
 

@@ -298,6 +298,52 @@ def test_proximity_against_brute_force(spark):
     assert got == want and want
 
 
+def brute_near(docs, items, n, slack, least):
+    """All (doc, item): share, from every band of every document, without anchors."""
+    out = {}
+    for i, ws in items:
+        for d, t in docs if len(ws) >= n else ():
+            bands = defaultdict(set)
+            for q, w in enumerate(ws):
+                for p, x in enumerate(t):
+                    if x == w:
+                        for b in (math.floor((p - q) / slack), math.floor((p - q) / slack) + 1):
+                            bands[b].add(q)
+            k = max(map(len, bands.values()), default=0)
+            if k / len(ws) >= least:
+                out[d, i] = round(k / len(ws), 9)
+    return out
+
+
+@pytest.mark.parametrize("n, slack, least", [(4, 3, 0.6), (13, 5, 0.6), (1, 2, 0.9), (13, 5, 0.3)])
+def test_near_passages_against_brute_force(spark, n, slack, least):
+    rng = random.Random(13)
+    v = [f"w{i}" for i in range(60)]
+    items = [(i, [rng.choice(v) for _ in range(rng.randint(3, 30))]) for i in range(12)]
+    items += [(50, [f"u{i}" for i in range(13)]), (51, [f"x{i}" if i in (8, 17) else f"r{i}" for i in range(28)]), (52, [f"s{i}" for i in range(28)])]
+    docs = []
+    for d in range(60):
+        t = [rng.choice(v) for _ in range(40)]
+        t[9:9] = edited(rng, items[rng.randrange(12)][1], rng.choice([0, 0.2, 0.4]))
+        docs.append((d, t))
+    # one run only, copied; words that the corpus lacks; one rare word of few replaced
+    docs += [(100, items[12][1]), (101, [w for w in items[13][1] if w[0] == "r"]), (102, [w if w != "s5" else "new" for w in items[14][1]]), (103, [])]
+    frame = lambda rows, key: spark.createDataFrame([(i, " ".join(t)) for i, t in rows], f"{key} bigint, text string")
+    want = brute_near(docs, items, n, slack, least)
+    assert {(100, 50), (102, 52)} <= set(want) and (least > 0.9 or (101, 51) in want)
+    for extra in (0, leakage.EXTRA):
+        got = {(r["doc"], r["item"]): round(r["share"], 9) for r in leakage.near_passages(frame(docs, "doc_id"), frame(items, "item_id"), n, slack, least, extra).collect()}
+        assert got == want
+    assert leakage.near_passages(frame(docs, "doc_id").limit(0), frame(items, "item_id")).count() == 0
+
+
+def test_near_query_returns_a_copy_of_one_run(spark, tmp_path):
+    text = " ".join(f"u{i}" for i in range(13))
+    spark.createDataFrame([(1, text)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, text)], "item_id bigint, text string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    assert [tuple(r) for r in queries.p8_near(spark, str(tmp_path)).collect()] == [(1, 7, 1.0)]
+
+
 # ---- 9: spans
 
 
