@@ -423,6 +423,36 @@ def test_chains(matches):
         assert got[0][0] == pytest.approx(brute_chain(pos, other, 20, 0.1))
 
 
+def places(df):
+    out = defaultdict(set)
+    for r in df.collect():
+        out[r["passage"]].add((r["doc"], r["span_start"], r["span_end"]))
+    return out
+
+
+def test_passages_have_all_partners(spark):
+    rng = random.Random(19)
+    noise = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    common = [noise(rng.randint(30, 90)) for _ in range(8)]
+    docs = [(d, noise(rng.randint(0, 40)) + "".join(rng.choice(common) + noise(rng.randint(0, 20)) for _ in range(rng.randint(0, 4)))) for d in range(60)]
+    hot, pair = noise(60), [noise(70), noise(70)]
+    docs += [(100, hot), (101, pair[0] + hot + pair[1]), (102, noise(9) + pair[0] + hot + pair[1]), (103, noise(30) + hot + noise(5) + hot)]
+    docs += [(201, alone := noise(80)), (202, alone), (203, alone), (204, docs[61][1]), (205, None), (206, ""), (207, "ab" * 60)]
+    texts = {d: t or "" for d, t in docs}
+    got = places(spans.passages(spark.createDataFrame([*docs, docs[3], docs[3]], "doc_id bigint, text string"), span=30, k=12))
+    for name, at in got.items():
+        assert len({texts[d] for d, _, _ in at}) > 1 or name.startswith("text-")
+        assert len({texts[d][a : a + 12] for d, a, _ in at}) == len({texts[d][b - 12 : b] for d, _, b in at}) == 1
+    pairs = {(x, y) for at in got.values() for x in {m[0] for m in at} for y in {m[0] for m in at} if x < y}
+    windows = {d: {t[i : i + 30] for i in range(len(t) - 29)} for d, t in texts.items()}
+    assert pairs >= {(x, y) for x in texts for y in texts if x < y and windows[x] & windows[y]}
+    # a pair that no smaller document takes part in, around a passage that others have too
+    assert any({m[0] for m in at} == {101, 102, 204} and all(b - a > 150 for _, a, b in at) for at in got.values())
+    assert got["text-201"] == {(d, 0, 80) for d in (201, 202, 203)} and got["text-101"] == {(d, 0, 200) for d in (101, 204)}
+    assert any(sum(m[0] == 103 for m in at) == 2 and {100, 101, 102, 103, 204} == {m[0] for m in at} for at in got.values())
+    assert spans.passages(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
 # ---- queries
 
 
