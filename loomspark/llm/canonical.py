@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import product
+from math import prod
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,6 +25,10 @@ from loomspark.llm.names import fold, shortens
 
 MAX_ENTRIES = 20_000
 MAX_LETTERS = 200
+MOST_WEIGHT = 2.6
+"""What an entry's words and slips may weigh."""
+MANY = 500
+"""Windows of more combinations of meanings are followed through the entries' prefixes; smaller ones are all looked up."""
 
 # Usual short forms in job titles and skills.
 SHORT = {
@@ -101,6 +106,57 @@ class DeleteIndex:
         return out
 
 
+class Prefixes:
+    """The trie of all spellings, followed with up to two edits: what leaves it can't begin a spelling within the allowed distance."""
+
+    EDITS = 2
+
+    def __init__(self, spellings: Iterable[str]):
+        self.nodes: list[dict[str, int]] = [{}]
+        for s in spellings:
+            at = 0
+            for x in s:
+                if x not in self.nodes[at]:
+                    self.nodes[at][x] = len(self.nodes)
+                    self.nodes.append({})
+                at = self.nodes[at][x]
+        self.start = self._lost({(0, ""): 0})
+
+    def _lost(self, states: dict[tuple[int, str], int]) -> dict[tuple[int, str], int]:
+        """``states`` and what they reach by letters that were not typed."""
+        for e in range(self.EDITS):
+            for (at, wait), had in list(states.items()):
+                if had == e and not wait:
+                    for v in self.nodes[at].values():
+                        if states.get((v, ""), 9) > e + 1:
+                            states[v, ""] = e + 1
+        return states
+
+    def feed(self, states: dict[tuple[int, str], int], typed: str) -> dict[tuple[int, str], int]:
+        """Edits of each (node, second letter of a swap that is open) after more letters."""
+        for x in typed:
+            out: dict[tuple[int, str], int] = {}
+
+            def put(at: int, wait: str, e: int) -> None:
+                if e <= self.EDITS and e < out.get((at, wait), 9):  # noqa: B023
+                    out[at, wait] = e  # noqa: B023
+
+            for (at, wait), e in states.items():
+                if wait:
+                    if wait == x:
+                        put(at, "", e)
+                    continue
+                put(at, "", e + 1)
+                for y, v in self.nodes[at].items():
+                    put(v, "", e + (x != y))
+                    if x != y and x in self.nodes[v]:
+                        put(self.nodes[v][x], y, e + 1)
+            states = self._lost(out)
+            if not states:
+                break
+        return states
+
+
 class Canonicaliser:
     """Maps values to entries; built once a task from the broadcast list of (id, text, frequency)."""
 
@@ -136,6 +192,7 @@ class Canonicaliser:
             for short in shorts[r[-1]] if len(r) > 1 else ():
                 spell.setdefault("".join(r[:-1]) + short, ("", key))
         self.index = DeleteIndex(spell)
+        self.prefixes = Prefixes(spell)
         self.words = {w for r in roles.values() for w in r} | self.levels
         self.word_index = DeleteIndex(dict.fromkeys(self.words))
         self.most_words = max(map(len, roles.values()), default=0)
@@ -199,24 +256,40 @@ class Canonicaliser:
                 for i in range(2, len(word) - 2):
                     left = self.expand(word[:i], False)
                     if left and left[0][0] <= 0.3:
-                        for (wl, a), (wr, b) in product(left[:2], self.expand(word[i:], len(word) - i >= 5)[:3]):
+                        for (wl, a), (wr, b) in product(left, self.expand(word[i:], len(word) - i >= 5)):
                             if wr < 2 and b != word[i:] or b in self.words:
                                 add(a + b, wl + wr + 0.2)
             if deep:
                 add(word, 0.0 if not out else 0.5)
-        self._expanded[key] = sorted((w, s) for s, w in out.items())[:5]
+        self._expanded[key] = sorted((w, s) for s, w in out.items())
         return self._expanded[key]
 
     def spellings(self, words: list[str]) -> list[tuple[float, str]]:
         """Weighted squeezed spellings of a window, as typed and with its words expanded."""
         out = {"".join(words): 0.0}
-        choices = [self.expand(w)[:3] for w in words]
-        for pick in product(*choices):
-            s = "".join(x for _, x in pick)
-            w = sum(x for x, _ in pick)
+
+        def add(s: str, w: float) -> None:
             if w < out.get(s, 9.0):
                 out[s] = w
-        return [(w, s) for s, w in out.items() if w < 4]
+
+        choices = [self.expand(w) for w in words]
+        # what the words that follow weigh at least
+        least = [sum(c[0][0] for c in choices[i:]) for i in range(len(words) + 1)]
+        pruned = prod(map(len, choices)) > MANY
+
+        def go(i: int, s: str, w: float, states: dict) -> None:
+            if i == len(words):
+                add(s, w)
+                return
+            for x, t in choices[i]:
+                if w + x + least[i + 1] > MOST_WEIGHT + 5e-4:
+                    break
+                after = self.prefixes.feed(states, t) if pruned else states
+                if after:
+                    go(i + 1, s + t, w + x, after)
+
+        go(0, "", 0.0, self.prefixes.start)
+        return [(w, s) for s, w in out.items()]
 
     def _best(self, words: list[str]) -> tuple[float, int, str, str] | None:
         """(weight, -frequency, level, role) of the best entry that the window spells."""
@@ -282,7 +355,7 @@ class Canonicaliser:
                 if hit is None or free and b - a == 1 and len(words[a]) < 5 and words[a] not in self.whole_initials:
                     continue
                 weight, freq, level, role = hit
-                if hit[0] > 2.6:
+                if hit[0] > MOST_WEIGHT:
                     continue
                 rank = (-len(role) + 3 * weight, weight, freq, a)
                 if best is None or rank < best[0]:

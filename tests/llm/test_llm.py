@@ -203,6 +203,23 @@ def test_canonical(spark):
     assert {r["ref_id"] for r in canonical.mapped(c, s, rt.limit(0), rs.limit(0)).collect()} == {0}
 
 
+def test_all_meanings_of_short_forms_are_tried(spark, monkeypatch):
+    skills = ["Container Orchestration", "Continuous Integration", "Contract Negotiation", "Control Systems", "Content Strategy", "Conflict Resolution", "Technical Interviewing", "Technical Writing", "Incident Response", "Information Retrieval", "Integration Testing", "Stream Processing", "Process Design", "Product Strategy", "Program Delivery", "Project Planning", "Workforce Scheduling", "Schema Design", "School Outreach", "Science Writing"]
+    typed = {"Cont. Orchestration": "Container Orchestration", "Con Integration": "Continuous Integration", "Con Intgeratoin": "Continuous Integration", "Technical Int": "Technical Interviewing", "Stream Pro": "Stream Processing", "Workforce Sch": "Workforce Scheduling", "Con Negotiation": "Contract Negotiation", "Con Beekeeping": None}
+    for many in (canonical.MANY, 0):
+        monkeypatch.setattr(canonical, "MANY", many)
+        m = canonical.Canonicaliser([(i + 1, t, 0) for i, t in enumerate(skills)])
+        assert {k: m.match(k, False) for k in typed} == {k: skills.index(v) + 1 if v else 0 for k, v in typed.items()}
+
+
+@given(st.lists(st.text("abc", min_size=1, max_size=6), min_size=1, max_size=5), st.text("abc", max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_prefixes_lose_nothing(spellings, typed):
+    trie = canonical.Prefixes(spellings)
+    near = any(canonical.weighted_distance(typed, s[:k])[0] <= 2 for s in spellings for k in range(len(s) + 1))
+    assert bool(trie.feed(trie.start, typed)) or not near
+
+
 # ---- 7: tokenizer
 
 
