@@ -1,7 +1,7 @@
 """Learning to rank from synthetic judges (ML1-9): labels by Spark, boosting of small trees on a bounded training table.
 
-Training takes at most ``MAX_TRAINING_ROWS`` candidates (the retrieval's top list; a documented bound). Labels, quantiles
-and scoring are distributed. The trees are fitted on histograms with NumPy: lambdas of pairs up to a truncation level are
+Training takes at most ``MAX_TRAINING_ROWS`` rows, of candidates by a hash of their id (a documented bound). Labels,
+quantiles and scoring are distributed and over all rows. The trees are fitted on histograms with NumPy: lambdas of pairs up to a truncation level are
 the targets, leaf values are Newton steps.
 """
 
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions.coerce import as_feature, col_or
 from loomspark.operators.joins import join_first_wins
+from loomspark.session import discard, materialise
 
 RETRIEVAL = ["bm25_score", "dense_score", "rrf_score", "bm25_rank", "dense_rank"]
 MATCH = [f"feat_{x}" for x in ("required_skills_match_ratio", "preferred_skills_match_ratio", "skills_match_score", "experience_match_score", "location_match_score", "domain_match_score", "responsibility_match_score", "certification_match_score", "semantic_match", "is_technical_role", "is_ai_ml_role")]
@@ -197,11 +198,19 @@ class TreeRanker:
         return TreeRanker(d["trees"], d["rate"])
 
 
+def labels(compiled: DataFrame, most: int = MAX_TRAINING_ROWS) -> DataFrame:
+    """Training rows (candidate_id, persona, relevance, features), at most ``most``: all rows enter the quantiles, candidates are taken by a hash of the id."""
+    labelled = relevance(persona_utilities(compiled))
+    rows = labelled.select("candidate_id", "persona", "relevance", *feature_matrix(labelled))
+    return rows.orderBy(F.xxhash64("candidate_id"), "candidate_id", "persona").limit(most - most % len(PERSONAS))
+
+
 def train(compiled: DataFrame, rounds: int = 100) -> TreeRanker:
-    """ML7: fits on at most ``MAX_TRAINING_ROWS`` rows, the first by candidate_id."""
-    base = compiled.orderBy("candidate_id").limit(MAX_TRAINING_ROWS // len(PERSONAS))
-    labelled = relevance(persona_utilities(base))
-    pdf = labelled.select("candidate_id", "persona", "relevance", *feature_matrix(labelled)).toPandas().sort_values(["persona", "candidate_id"])
+    """ML7: fits on at most ``MAX_TRAINING_ROWS`` rows, those of :func:`labels`."""
+    # written first: collected as they are, the first rows of every partition would meet in the driver
+    rows = materialise(labels(compiled))
+    pdf = rows.toPandas().sort_values(["persona", "candidate_id"])
+    discard(rows)
     return TreeRanker().fit(pdf[FEATURES].to_numpy(float), pdf["relevance"].to_numpy(float), pdf["persona"].to_numpy(), rounds)
 
 

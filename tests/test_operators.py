@@ -193,6 +193,22 @@ def test_labels_and_ranker(spark):
     assert ranker.TreeRanker.from_json(model.to_json()).to_json() == model.to_json()
 
 
+def test_labels_of_a_bounded_table_are_those_of_all_rows(spark, monkeypatch):
+    """Utility rises with the id, so that a prefix of ids would hold the worst only."""
+    rows = [(f"C{i:03d}", *[float(i)] * 8, 6.0) for i in range(200)]
+    df = spark.createDataFrame(rows, "candidate_id string, " + ", ".join(f"{w} double" for w in ranker.WEIGHED) + ", years_of_experience double")
+    every = {(r["candidate_id"], r["persona"]): r["relevance"] for r in ranker.relevance(ranker.persona_utilities(df)).collect()}
+    seen = []
+    monkeypatch.setattr(ranker.TreeRanker, "fit", lambda self, x, y, group, rounds: seen.append((y, group)) or self)
+    monkeypatch.setattr(ranker.labels, "__defaults__", (250,))
+    got = {(r["candidate_id"], r["persona"]): r["relevance"] for r in ranker.labels(df).collect()}
+    ids = {i for i, _ in got}
+    assert got.items() <= every.items() and len(got) == 250 and len(ids) == 50 and ids != {f"C{i:03d}" for i in range(50)}
+    ranker.train(df)
+    y, group = seen[0]
+    assert len(y) == 250 and set(y) == {0, 1, 2, 3, 4}
+
+
 def test_rerank_uses_the_cache(spark):
     c = spark.createDataFrame([("A", "good match"), ("B", "none"), ("C", None)], "candidate_id string, normalized_text string")
     empty = spark.createDataFrame([], artifacts.SCORE_CACHE)
