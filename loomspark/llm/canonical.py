@@ -300,7 +300,7 @@ class Canonicaliser:
             self._windows.clear()
         found = []
         for w, s in self.spellings(words):
-            if len(s) < 4:
+            if len(s) < 4 and s not in self.index.values:
                 continue
             for d, hit in self.index.near(s):
                 level, role = self.index.values[hit]
@@ -352,7 +352,7 @@ class Canonicaliser:
                 if free and any(toks[k][1] for k in range(a + 1, b)):
                     break
                 hit = self._best(words[a:b])
-                if hit is None or free and b - a == 1 and len(words[a]) < 5 and words[a] not in self.whole_initials:
+                if hit is None or free and b - a == 1 and len(words[a]) < 5 and words[a] not in self.whole_initials and words[a] not in self.index.values:
                     continue
                 weight, freq, level, role = hit
                 if hit[0] > MOST_WEIGHT:

@@ -212,6 +212,12 @@ def test_all_meanings_of_short_forms_are_tried(spark, monkeypatch):
         assert {k: m.match(k, False) for k in typed} == {k: skills.index(v) + 1 if v else 0 for k, v in typed.items()}
 
 
+def test_short_entries_are_matched_exactly():
+    m = canonical.Canonicaliser([(1, "SQL", 0), (2, "Git", 0), (3, "Data Modelling", 0)])
+    assert [m.match(t, False) for t in ("SQL", "git", "sql v4", "sqk", "gi", "data modeling")] == [1, 2, 1, 0, 0, 3]
+    assert [m.match(t, True) for t in ("Ex-Foo | SQL at heart", "sqk at heart")] == [1, 0]
+
+
 @given(st.lists(st.text("abc", min_size=1, max_size=6), min_size=1, max_size=5), st.text("abc", max_size=6))
 @settings(max_examples=200, deadline=None)
 def test_prefixes_lose_nothing(spellings, typed):
