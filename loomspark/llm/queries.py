@@ -74,7 +74,11 @@ def p9_passages(spark: SparkSession, root: str) -> DataFrame:
     return spans.passages(table(spark, root, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_fused": p1_fused, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_classes": p3_classes, "p6_found": p6_found, "p6_misses": p6_misses, "p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items, "p8_near": p8_near, "p9_found": p9_found, "p9_share": p9_share, "p9_passages": p9_passages}
+def p9_fuzzy(spark: SparkSession, root: str) -> DataFrame:
+    return spans.fuzzy_passages(table(spark, root, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_fused": p1_fused, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_classes": p3_classes, "p6_found": p6_found, "p6_misses": p6_misses, "p7_ids": p7_ids, "p8_found": p8_found, "p8_items": p8_items, "p8_near": p8_near, "p9_found": p9_found, "p9_share": p9_share, "p9_passages": p9_passages, "p9_fuzzy": p9_fuzzy}
 
 _SPACE = r"[\t-\r\x1c-\x20\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 _NORM = " || chr(1) || ".join(f"coalesce(trim(regexp_replace(lower({c}), '{_SPACE}', ' ', 'g')), '')" for c in ("anonymized_name", "headline", "summary", "skill_names_json"))

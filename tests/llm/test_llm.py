@@ -1,6 +1,7 @@
 """Operators of the llm subpackage against brute force, a published tokenizer, SQL and labelled spellings."""
 
 import datetime as dt
+import itertools
 import json
 import math
 import os
@@ -406,7 +407,10 @@ def test_spans_against_brute_force(spark):
         docs.append((d, t))
     docs += [(100, docs[5][1]), (101, None), (102, ""), (103, "ab" * 200), (104, "ab" * 300), (105, passages[0] * 3)]
     df = spark.createDataFrame([*docs, docs[7], docs[7]], "doc_id bigint, text string").withColumn("h", F.lit(1)).withColumn("pos", F.lit("p"))
-    assert {tuple(r) for r in spans.shared_spans(df, span=30, k=12).collect()} == brute_spans(docs, 30)
+    want = brute_spans(docs, 30)
+    for few in (8, 2, 0):
+        rows = [tuple(r) for r in spans.shared_spans(df, span=30, k=12, few=few).collect()]
+        assert set(rows) == want and len(rows) == len(want)
     share = {r["doc_id"]: r for r in spans.shared_share(df, span=30, k=12).collect()}
     assert set(share) == {d for d, _ in docs} and share[101]["share"] == 0.0 and share[100]["share"] == 1.0
     assert spans.shared_spans(df.limit(0)).count() == 0
@@ -425,25 +429,68 @@ def test_long_texts_are_cut_into_overlapping_pieces(spark, monkeypatch):
     assert seeds == {int(p) for p in spans.window_seeds(h, 61)}
 
 
-def brute_chain(pos, other, k, gap):
-    order = sorted(range(len(pos)), key=lambda i: (pos[i], other[i]))
-    best = {}
-    for i in order:
-        options = [best[j] - gap * (pos[i] - pos[j] + other[i] - other[j]) for j in best if pos[j] < pos[i] and other[j] < other[i]]
-        top = max([(o, j) for o, j in zip(options, [j for j in best if pos[j] < pos[i] and other[j] < other[i]], strict=True)], default=(-math.inf, -1))
-        best[i] = top[0] + min(k, pos[i] - pos[top[1]], other[i] - other[top[1]]) if top[0] > 0 else float(k)
-    return max(best.values(), default=0)
+def follows(p, q, k):
+    """Whether match q may follow p in a chain: it begins after p on both sides, or overlaps it on one diagonal."""
+    return p[0] + k <= q[0] and p[1] + k <= q[1] or 0 < q[0] - p[0] == q[1] - p[1] < k
 
 
-@given(st.lists(st.tuples(st.integers(0, 300), st.integers(0, 300)), max_size=25, unique=True))
-@settings(max_examples=100, deadline=None)
+def chain_score(matches, k, gap):
+    steps = list(zip(matches, matches[1:], strict=False))
+    covered = k + sum(min(k, q[0] - p[0]) for p, q in steps)
+    return covered - gap * sum(max(0, q[0] - p[0] - k) + max(0, q[1] - p[1] - k) for p, q in steps)
+
+
+@given(st.lists(st.tuples(st.integers(0, 90), st.integers(0, 90)), max_size=9, unique=True))
+@settings(max_examples=200, deadline=None)
 def test_chains(matches):
-    pos, other = [m[0] for m in matches], [m[1] for m in matches]
-    got = spans.chain(pos, other, 20, 0.1)
+    k, gap = 20, 0.1
+    got = spans.chain([m[0] for m in matches], [m[1] for m in matches], k, gap)
     assert sorted(i for _, p in got for i in p) == list(range(len(matches)))
-    assert all(pos[a] < pos[b] and other[a] < other[b] for _, p in got for a, b in zip(p, p[1:], strict=False))
-    if matches:
-        assert got[0][0] == pytest.approx(brute_chain(pos, other, 20, 0.1))
+    for score, path in got:
+        row = [matches[i] for i in path]
+        assert all(follows(p, q, k) for p, q in zip(row, row[1:], strict=False)) and score == pytest.approx(chain_score(row, k, gap))
+    # every chain there is
+    ordered = sorted(matches)
+    chains = [c for n in range(1, len(ordered) + 1) for c in itertools.combinations(ordered, n) if all(follows(p, q, k) for p, q in zip(c, c[1:], strict=False))]
+    assert (got[0][0] if got else 0) == pytest.approx(max((chain_score(c, k, gap) for c in chains), default=0))
+
+
+def test_a_fresh_start_is_better_than_a_costly_gap():
+    assert spans.chain([0, 2], [0, 153], 20, 0.1) == [(20.0, [0]), (20.0, [1])]
+
+
+@given(st.text("abc", max_size=12), st.text("abc", max_size=12))
+@settings(max_examples=200, deadline=None)
+def test_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        row = next_row(row, i, x, b)
+    assert spans.edits(a, b) == row[-1]
+
+
+def next_row(row, i, x, b):
+    out = [i + 1]
+    for j, y in enumerate(b):
+        out.append(min(row[j + 1] + 1, out[j] + 1, row[j] + (x != y)))
+    return out
+
+
+def test_fuzzy_passages_of_planted_pairs(spark):
+    """A passage of two texts with letters changed, lost and added between exact parts is one alignment with so many edits."""
+    rng = random.Random(23)
+    noise = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    parts = [noise(60) for _ in range(3)]
+    changed = parts[0] + "XX" + parts[1][:-1] + "YZ" + parts[2]
+    docs = [(1, noise(50) + "".join(parts) + noise(40)), (2, noise(30) + changed + noise(20)), (3, noise(200)), (4, None), (5, "")]
+    docs += [(10 + i, noise(20) + parts[2] + noise(25)) for i in range(4)]
+    df = spark.createDataFrame([*docs, docs[0]], "doc_id bigint, text string")
+    for few in (8, 1):
+        got = [r for r in spans.fuzzy_passages(df, span=30, k=12, few=few).collect() if (r["doc_a"], r["doc_b"]) == (1, 2)]
+        assert [(r["a_start"], r["a_end"], r["b_start"], r["b_end"], r["edits"]) for r in got] == [(50, 230, 30, 213, 4)] and got[0]["identity"] == round(1 - 4 / 183, 6)
+    # a gap longer than a seed's surroundings cuts the chain
+    far = spark.createDataFrame([(1, parts[0] + "X" + noise(90) + "X" + parts[1]), (2, parts[0] + "Y" + noise(70) + "Y" + parts[1])], "doc_id bigint, text string")
+    assert sorted((r["a_start"], r["a_end"], r["edits"]) for r in spans.fuzzy_passages(far, span=30, k=12).collect()) == [(0, 60, 0), (152, 212, 0)]
+    assert spans.fuzzy_passages(df.limit(0)).count() == 0
 
 
 def places(df):
