@@ -1,11 +1,11 @@
 """Evaluation passages inside a training corpus: a distributed positional inverted index.
 
-Postings (term, document, place) of all training tokens that some passage also holds are stored as a table; other tokens
-can match nothing. For every run of ``n`` words of a passage the rarest of its terms, by the corpus's own counts, is the
-anchor. The anchors' postings, shifted by the anchor's offset, give candidates (document, passage, shift); these are
-intersected with the shifted postings of the next rarest term of the run, then of all terms, and the runs of consecutive
-matches are read off. No document is cut, no term is left out for being frequent: frequent terms are only read where a
-rare one already matched.
+The terms of the passages are counted over the whole corpus first. Postings (term, document, place) are stored for the
+terms that searches begin with: for every run of ``n`` words of a passage its two rarest terms, for proximity the rarest
+terms of the passage of which a match must hold some. The rarest term's postings, shifted by its offset, give candidates
+(document, passage, shift), which are intersected with the shifted postings of the next rarest one. All other terms are
+read of the candidate documents only, and the runs of consecutive matches are read off. No document is cut, no term is
+left out for being frequent, and what no search begins with is neither stored nor shuffled.
 """
 
 from __future__ import annotations
@@ -26,17 +26,30 @@ def item_terms(items: DataFrame, item: str = "item_id", text: str = "text") -> D
     return items.where(F.col(item).isNotNull()).select(F.col(item).alias("item"), F.posexplode(words(F.col(text))).alias("q", "term")).distinct()
 
 
-def postings(docs: DataFrame, terms: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """Stored index (term, doc, p): the places of all passage terms in all documents, as whole texts."""
-    vocabulary = terms.select("term").distinct()
-    tokens = docs.where(F.col(doc).isNotNull()).select(F.col(doc).alias("doc"), F.posexplode(words(F.col(text))).alias("p", "term"))
-    return materialise(tokens.join(vocabulary, "term", "left_semi"))
+def _tokens(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """Tokens (doc, p, term) of whole texts."""
+    return docs.where(F.col(doc).isNotNull()).select(F.col(doc).alias("doc"), F.posexplode(words(F.col(text))).alias("p", "term"))
 
 
-def _anchors(index: DataFrame, terms: DataFrame, n: int) -> DataFrame:
+def term_counts(docs: DataFrame, terms: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """Stored counts (term, df) of the passages' terms over the whole corpus; terms it lacks have no row."""
+    tokens = docs.where(F.col(doc).isNotNull()).select(F.explode(words(F.col(text))).alias("term"))
+    return materialise(tokens.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")))
+
+
+def postings(docs: DataFrame, wanted: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """Stored index (term, doc, p): the places of the ``wanted`` terms in all documents."""
+    return materialise(_tokens(docs, doc, text).join(wanted.select("term").distinct(), "term", "left_semi"))
+
+
+def tokens_of(docs: DataFrame, chosen: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """Tokens (doc, p, term) of the documents that ``chosen`` names."""
+    return _tokens(docs.join(chosen.select(F.col("doc").alias(doc)).distinct(), doc, "left_semi"), doc, text)
+
+
+def _anchors(df: DataFrame, terms: DataFrame, n: int) -> DataFrame:
     """Rows (item, q, term, q2, term2): the rarest and second rarest term of each run of n words that the corpus could hold."""
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
-    # every run of n words: its rarest and second rarest term; a term that the corpus lacks rules the run out
+    # a term that the corpus lacks rules the run out
     spread = terms.join(df, "term", "left").select("item", "q", "term", F.coalesce("df", F.lit(0)).alias("df"), F.explode(F.sequence(F.greatest(F.col("q") - (n - 1), F.lit(0)), F.col("q"))).alias("s"))
     runs = spread.groupBy("item", "s").agg(F.sort_array(F.collect_set(F.struct("df", "q", "term"))).alias("t")).where(F.size("t") == n)
     return runs.where(F.col("t")[0]["df"] > 0).select("item", F.col("t")[0]["q"].alias("q"), F.col("t")[0]["term"].alias("term"), F.col("t")[min(1, n - 1)]["q"].alias("q2"), F.col("t")[min(1, n - 1)]["term"].alias("term2")).distinct()
@@ -48,45 +61,23 @@ def phrase_matches(docs: DataFrame, items: DataFrame, n: int = RUN, doc: str = "
     Null, empty and blank texts match nothing, nor do passages of fewer than ``n`` words; empty tables give no rows.
     """
     terms = item_terms(items, item, item_text)
-    index = postings(docs, terms, doc, text)
-    anchors = _anchors(index, terms, n)
+    anchors = materialise(_anchors(term_counts(docs, terms, doc, text), terms, n))
+    index = postings(docs, anchors.select(F.explode(F.array("term", "term2")).alias("term")), doc, text)
     first = index.join(anchors, "term").select("doc", "item", (F.col("p") - F.col("q")).alias("shift"), "q2", "term2")
-    second = first.withColumn("p", F.col("shift") + F.col("q2")).join(index.withColumnRenamed("term", "term2"), ["doc", "p", "term2"], "left_semi").select("doc", "item", "shift").distinct()
+    second = materialise(first.withColumn("p", F.col("shift") + F.col("q2")).join(index.withColumnRenamed("term", "term2"), ["doc", "p", "term2"], "left_semi").select("doc", "item", "shift").distinct())
     wanted = second.join(terms, "item").select("doc", (F.col("q") + F.col("shift")).alias("p"), "term", "item", "shift", "q")
-    hits = wanted.join(index, ["doc", "p", "term"], "left_semi")
+    hits = wanted.join(tokens_of(docs, second, doc, text), ["doc", "p", "term"], "left_semi")
     w = Window.partitionBy("doc", "item", "shift").orderBy("q")
     islands = hits.withColumn("k", F.col("q") - F.row_number().over(w))
     return islands.groupBy("doc", "item", "shift", "k").agg(F.min("q").alias("first_q"), F.max("q").alias("last_q")).where(F.col("last_q") - F.col("first_q") >= n - 1).drop("k")
 
 
-def proximity_matches(docs: DataFrame, items: DataFrame, n: int = RUN, slack: int = 5, share: float = 0.6, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Rows (doc, item, share): passages whose words stand near each other, though words may be lost, added or moved.
-
-    Two different anchors must lie within one band of ``2 * slack`` shifts, and at least ``share`` of the passage's words at
-    shifts of that band; the best band counts. Bands overlap by half. Passages of fewer than ``n`` words have no anchors.
-    Matches that hold fewer than two anchors are left out: :func:`near_passages` returns all.
-    """
-    terms = item_terms(items, item, item_text)
-    index = postings(docs, terms, doc, text)
-    anchors = _anchors(index, terms, n).select("item", "q", "term").distinct()
-    shift = F.col("p") - F.col("q")
-    band = F.floor(shift / slack)
-    first = index.join(anchors, "term").select("doc", "item", "q", F.explode(F.array(band, band + 1)).alias("band"))
-    bands = first.groupBy("doc", "item", "band").agg(F.min("q").alias("a"), F.max("q").alias("z")).where("a <> z").select("doc", "item", "band")
-    near = bands.join(terms, "item").join(index, ["doc", "term"]).where((shift >= (F.col("band") - 1) * slack) & (shift < (F.col("band") + 1) * slack))
-    found = near.select("doc", "item", "band", "q").distinct().groupBy("doc", "item", "band").agg(F.count("*").alias("k"))
-    size = terms.groupBy("item").agg(F.count("*").alias("m"))
-    best = found.join(size, "item").groupBy("doc", "item").agg(F.max(F.col("k") / F.col("m")).alias("share"))
-    return best.where(F.col("share") >= share)
-
-
-def _prefix(index: DataFrame, terms: DataFrame, share: float, extra: int) -> DataFrame:
+def _prefix(df: DataFrame, terms: DataFrame, share: float, extra: int) -> DataFrame:
     """Rows (item, q, term, least): the rarest places of each passage, of which a match must hold at least ``least``.
 
     A match holds ``need`` of a passage's ``m`` places, so that it lacks ``m - need`` at most: of any ``m - need + least``
     places it holds at least ``least``. Terms that the corpus lacks use up places.
     """
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
     size = terms.groupBy("item").agg(F.count("*").alias("m"))
     need = F.greatest(F.ceil(F.col("m") * share - 1e-9), F.lit(1))
     ranked = terms.join(df, "term", "left").withColumn("r", F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("df", F.lit(0)), "q", "term")))
@@ -102,12 +93,12 @@ def near_passages(docs: DataFrame, items: DataFrame, n: int = RUN, slack: int =
     """
     terms = item_terms(items, item, item_text)
     terms = terms.join(terms.groupBy("item").agg(F.max("q").alias("z")).where(F.col("z") >= n - 1).select("item"), "item", "left_semi")
-    index = postings(docs, terms, doc, text)
+    prefix = materialise(_prefix(term_counts(docs, terms, doc, text), terms, share, extra))
     shift = F.col("p") - F.col("q")
     band = F.floor(shift / slack)
-    first = index.join(_prefix(index, terms, share, extra), "term").select("doc", "item", "least", F.explode(F.array(band, band + 1)).alias("band"))
-    bands = first.groupBy("doc", "item", "band", "least").agg(F.count("*").alias("hits")).where("hits >= least").select("doc", "item", "band")
-    near = bands.join(terms, "item").join(index, ["doc", "term"]).where((shift >= (F.col("band") - 1) * slack) & (shift < (F.col("band") + 1) * slack))
+    first = postings(docs, prefix, doc, text).join(prefix, "term").select("doc", "item", "least", F.explode(F.array(band, band + 1)).alias("band"))
+    bands = materialise(first.groupBy("doc", "item", "band", "least").agg(F.count("*").alias("hits")).where("hits >= least").select("doc", "item", "band"))
+    near = bands.join(terms, "item").join(tokens_of(docs, bands, doc, text), ["doc", "term"]).where((shift >= (F.col("band") - 1) * slack) & (shift < (F.col("band") + 1) * slack))
     found = near.select("doc", "item", "band", "q").distinct().groupBy("doc", "item", "band").agg(F.count("*").alias("k"))
     size = terms.groupBy("item").agg(F.count("*").alias("m"))
     best = found.join(size, "item").groupBy("doc", "item").agg(F.max(F.col("k") / F.col("m")).alias("share"))

@@ -291,37 +291,6 @@ def test_leakage_against_brute_force(spark):
     assert leakage.leaked(dd.limit(0), ii).count() == 0 and leakage.leaked(dd, ii.limit(0)).count() == 0
 
 
-def test_proximity_against_brute_force(spark):
-    rng = random.Random(3)
-    n, slack, least = 4, 3, 0.6
-    v = [f"w{i}" for i in range(40)]
-    items = [(i, [rng.choice(v) for _ in range(rng.randint(3, 14))]) for i in range(12)]
-    docs = []
-    for d in range(60):
-        t = [rng.choice(v) for _ in range(40)]
-        t[9:9] = edited(rng, items[rng.randrange(12)][1], rng.choice([0, 0.2, 0.5]))
-        docs.append((d, t))
-    df = Counter(w for _, t in docs for w in t)
-    want = {}
-    for i, ws in items:
-        anchors = {min((df[ws[q]], q, ws[q]) for q in range(s, s + n))[1:] for s in range(len(ws) - n + 1) if min(df[ws[q]] for q in range(s, s + n)) > 0}
-        for d, t in docs:
-            bands = defaultdict(set)
-            for q, w in anchors:
-                for p, x in enumerate(t):
-                    if x == w:
-                        for b in (math.floor((p - q) / slack), math.floor((p - q) / slack) + 1):
-                            bands[b].add(q)
-            for b, qs in bands.items():
-                if len(qs) > 1:
-                    k = sum(any(t[p] == w and (b - 1) * slack <= p - q < (b + 1) * slack for p in range(len(t))) for q, w in enumerate(ws))
-                    want[d, i] = max(want.get((d, i), 0), k / len(ws))
-    want = {k: round(x, 9) for k, x in want.items() if x >= least}
-    frame = lambda rows, key: spark.createDataFrame([(i, " ".join(t)) for i, t in rows], f"{key} bigint, text string")
-    got = {(r["doc"], r["item"]): round(r["share"], 9) for r in leakage.proximity_matches(frame(docs, "doc_id"), frame(items, "item_id"), n, slack, least).collect()}
-    assert got == want and want
-
-
 def brute_near(docs, items, n, slack, least):
     """All (doc, item): share, from every band of every document, without anchors."""
     out = {}
