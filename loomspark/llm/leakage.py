@@ -3,14 +3,16 @@
 The terms of the passages are counted over the whole corpus first. Postings (term, document, place) are stored for the
 terms that searches begin with: for every run of ``n`` words of a passage its two rarest terms, for proximity the rarest
 terms of the passage of which a match must hold some. The rarest term's postings, shifted by its offset, give candidates
-(document, passage, shift), which are intersected with the shifted postings of the next rarest one. All other terms are
-read of the candidate documents only, and the runs of consecutive matches are read off. No document is cut, no term is
+(document, passage, shift), which are intersected with the shifted postings of the next rarest one. All other words are
+read of the candidate documents only, beside the passage, and the runs of consecutive matches are read off. No document is cut, no term is
 left out for being frequent, and what no search begins with is neither stored nor shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions.text import words
@@ -42,9 +44,21 @@ def postings(docs: DataFrame, wanted: DataFrame, doc: str = "doc_id", text: str
     return materialise(_tokens(docs, doc, text).join(wanted.select("term").distinct(), "term", "left_semi"))
 
 
-def tokens_of(docs: DataFrame, chosen: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """Tokens (doc, p, term) of the documents that ``chosen`` names."""
-    return _tokens(docs.join(chosen.select(F.col("doc").alias(doc)).distinct(), doc, "left_semi"), doc, text)
+def _beside(docs: DataFrame, candidates: DataFrame, terms: DataFrame, doc: str, text: str, before: Callable[[Column], Column], after: Callable[[Column], Column]) -> DataFrame:
+    """Each candidate (doc, item, place) with the passage's words ``t`` and the document's words ``w`` from ``lo`` on.
+
+    ``before`` and ``after`` give, from the place, where the part begins and how far it ends behind the passage's length.
+    Whole texts move once, and per candidate only that part. A document's list of candidates is as long as its matches of
+    rare terms.
+    """
+    passages = terms.groupBy("item").agg(F.transform(F.array_sort(F.collect_list(F.struct("q", "term"))), lambda x: x["term"]).alias("t"))
+    place = F.col("place")
+    sized = candidates.join(terms.groupBy("item").agg(F.count("*").cast("int").alias("m")), "item")
+    part = F.struct("item", "place", F.greatest(before(place), F.lit(0)).alias("lo"), F.greatest(F.col("m") + after(place), F.lit(0)).alias("hi"))
+    lists = sized.groupBy(F.col("doc").alias(doc)).agg(F.collect_list(part).alias("_c"))
+    rows = docs.select(doc, text).join(lists, doc).select(F.col(doc).alias("doc"), words(F.col(text)).alias("w"), F.explode("_c").alias("c"))
+    cut = F.slice("w", F.col("c.lo") + 1, F.greatest(F.col("c.hi") - F.col("c.lo"), F.lit(0)))
+    return rows.select("doc", "c.item", "c.place", "c.lo", cut.alias("w")).join(passages, "item")
 
 
 def _anchors(df: DataFrame, terms: DataFrame, n: int) -> DataFrame:
@@ -64,12 +78,15 @@ def phrase_matches(docs: DataFrame, items: DataFrame, n: int = RUN, doc: str = "
     anchors = materialise(_anchors(term_counts(docs, terms, doc, text), terms, n))
     index = postings(docs, anchors.select(F.explode(F.array("term", "term2")).alias("term")), doc, text)
     first = index.join(anchors, "term").select("doc", "item", (F.col("p") - F.col("q")).alias("shift"), "q2", "term2")
-    second = materialise(first.withColumn("p", F.col("shift") + F.col("q2")).join(index.withColumnRenamed("term", "term2"), ["doc", "p", "term2"], "left_semi").select("doc", "item", "shift").distinct())
-    wanted = second.join(terms, "item").select("doc", (F.col("q") + F.col("shift")).alias("p"), "term", "item", "shift", "q")
-    hits = wanted.join(tokens_of(docs, second, doc, text), ["doc", "p", "term"], "left_semi")
-    w = Window.partitionBy("doc", "item", "shift").orderBy("q")
-    islands = hits.withColumn("k", F.col("q") - F.row_number().over(w))
-    return islands.groupBy("doc", "item", "shift", "k").agg(F.min("q").alias("first_q"), F.max("q").alias("last_q")).where(F.col("last_q") - F.col("first_q") >= n - 1).drop("k")
+    second = materialise(first.withColumn("p", F.col("shift") + F.col("q2")).join(index.withColumnRenamed("term", "term2"), ["doc", "p", "term2"], "left_semi").select("doc", "item", F.col("shift").alias("place")).distinct())
+    m = F.size("t")
+    here = lambda place: place
+    places = F.sequence(F.lit(0), m - 1)
+    misses = F.filter(places, lambda i: ~F.get("w", i + F.col("place") - F.col("lo")).eqNullSafe(F.get("t", i)))
+    seen = _beside(docs, second, terms, doc, text, here, here).withColumn("x", F.concat(F.array(F.lit(-1)), misses, F.array(m)))
+    # between two misses lies a run of matches
+    between = F.filter(F.transform(F.sequence(F.lit(1), F.size("x") - 1), lambda i: F.struct((F.get("x", i - 1) + 1).alias("first_q"), (F.get("x", i) - 1).alias("last_q"))), lambda r: r["last_q"] - r["first_q"] >= n - 1)
+    return seen.select("doc", "item", F.col("place").alias("shift"), F.explode(between).alias("r")).select("doc", "item", "shift", "r.first_q", "r.last_q").distinct()
 
 
 def _prefix(df: DataFrame, terms: DataFrame, share: float, extra: int) -> DataFrame:
@@ -97,12 +114,12 @@ def near_passages(docs: DataFrame, items: DataFrame, n: int = RUN, slack: int =
     shift = F.col("p") - F.col("q")
     band = F.floor(shift / slack)
     first = postings(docs, prefix, doc, text).join(prefix, "term").select("doc", "item", "least", F.explode(F.array(band, band + 1)).alias("band"))
-    bands = materialise(first.groupBy("doc", "item", "band", "least").agg(F.count("*").alias("hits")).where("hits >= least").select("doc", "item", "band"))
-    near = bands.join(terms, "item").join(tokens_of(docs, bands, doc, text), ["doc", "term"]).where((shift >= (F.col("band") - 1) * slack) & (shift < (F.col("band") + 1) * slack))
-    found = near.select("doc", "item", "band", "q").distinct().groupBy("doc", "item", "band").agg(F.count("*").alias("k"))
-    size = terms.groupBy("item").agg(F.count("*").alias("m"))
-    best = found.join(size, "item").groupBy("doc", "item").agg(F.max(F.col("k") / F.col("m")).alias("share"))
-    return best.where(F.col("share") >= share)
+    bands = materialise(first.groupBy("doc", "item", "band", "least").agg(F.count("*").alias("hits")).where("hits >= least").select("doc", "item", F.col("band").cast("int").alias("place")))
+    begin, end = (lambda place: (place - 1) * slack), (lambda place: (place + 1) * slack)
+    low, high = (lambda q: F.greatest(q + begin(F.col("place")) - F.col("lo"), F.lit(0))), (lambda q: q + end(F.col("place")) - F.col("lo"))
+    held = lambda q: F.array_contains(F.slice("w", low(q) + 1, F.greatest(high(q) - low(q), F.lit(0))), F.get("t", q))
+    k = F.size(F.filter(F.sequence(F.lit(0), F.size("t") - 1), held))
+    return _beside(docs, bands, terms, doc, text, begin, end).groupBy("doc", "item").agg(F.max(k / F.size("t")).alias("share")).where(F.col("share") >= share)
 
 
 def leaked(docs: DataFrame, items: DataFrame, n: int = RUN) -> DataFrame:
