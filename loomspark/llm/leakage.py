@@ -56,9 +56,11 @@ def _beside(docs: DataFrame, candidates: DataFrame, terms: DataFrame, doc: str,
     sized = candidates.join(terms.groupBy("item").agg(F.count("*").cast("int").alias("m")), "item")
     part = F.struct("item", "place", F.greatest(before(place), F.lit(0)).alias("lo"), F.greatest(F.col("m") + after(place), F.lit(0)).alias("hi"))
     lists = sized.groupBy(F.col("doc").alias(doc)).agg(F.collect_list(part).alias("_c"))
-    rows = docs.select(doc, text).join(lists, doc).select(F.col(doc).alias("doc"), words(F.col(text)).alias("w"), F.explode("_c").alias("c"))
-    cut = F.slice("w", F.col("c.lo") + 1, F.greatest(F.col("c.hi") - F.col("c.lo"), F.lit(0)))
-    return rows.select("doc", "c.item", "c.place", "c.lo", cut.alias("w")).join(passages, "item")
+    # parts are cut before they become rows, which would each hold the whole text; its words are split once, as the lambda's variable
+    cut = lambda w: lambda c: F.struct(c["item"].alias("item"), c["place"].alias("place"), c["lo"].alias("lo"), F.slice(w, c["lo"] + 1, F.greatest(c["hi"] - c["lo"], F.lit(0))).alias("w"))
+    parts = F.transform(F.array(words(F.col(text))), lambda w: F.transform("_c", cut(w)))[0]
+    rows = docs.select(doc, text).join(lists, doc).select(F.col(doc).alias("doc"), F.explode(parts).alias("c"))
+    return rows.select("doc", "c.*").join(passages, "item")
 
 
 def _anchors(df: DataFrame, terms: DataFrame, n: int) -> DataFrame:
