@@ -97,9 +97,10 @@ def edited(rng, words, share):
     return w
 
 
-@pytest.mark.parametrize("small", [200, 4])
-def test_near_classes_against_brute_force(spark, small, monkeypatch):
-    monkeypatch.setattr(near.similar_pairs, "__defaults__", (near.RECALL, small, near.LEVELS))
+@pytest.mark.parametrize("small, most_rows", [(near.SMALL, near.MOST_ROWS), (4, near.MOST_ROWS), (4, 12), (2, 8)])
+def test_near_classes_against_brute_force(spark, small, most_rows, monkeypatch):
+    """Also with buckets that are large up to the last level, in memory and as tables."""
+    monkeypatch.setattr(near.similar_pairs, "__defaults__", (near.RECALL, small, near.LEVELS if most_rows > 10 else 2, most_rows, near.MOST_TOKENS))
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(60)]
     rows = []
@@ -123,10 +124,41 @@ def test_near_classes_against_brute_force(spark, small, monkeypatch):
 def test_sketch_never_exceeds_the_difference():
     rng = np.random.default_rng(0)
     for _ in range(200):
-        a = np.unique(rng.integers(0, 1 << 60, rng.integers(1, 300))).astype(np.uint64)
-        b = np.unique(np.r_[rng.choice(a, rng.integers(0, len(a) + 1), replace=False), rng.integers(0, 1 << 60, 20).astype(np.uint64)])
-        d = sum(int(x ^ y).bit_count() for x, y in zip(near.parity_sketch(a).view(np.uint64), near.parity_sketch(b).view(np.uint64), strict=True))
-        assert d <= len(np.setxor1d(a, b))
+        a = np.unique(rng.integers(0, 1 << 16, rng.integers(1, 300)))
+        b = np.unique(np.r_[rng.choice(a, rng.integers(0, len(a) + 1), replace=False), rng.integers(0, 1 << 16, 20)])
+        x, y = near.parity_sketches(np.r_[a, b], np.array([0, len(a), len(a) + len(b)]))
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs at the threshold among buckets that never get small, with the production number of roots."""
+    rng = np.random.default_rng(7)
+    kinds, pairs, union = np.arange(3000), 4000, 100
+    rows = []
+    for p in range(pairs):
+        t = rng.choice(kinds, union, replace=False)
+        for side in (0, 1):
+            rows.append((f"{p:05d}-{side}", " ".join(f"k{x}" for x in np.r_[t[:70], t[70:85] if side else t[85:]])))
+    from loomspark.functions.text import words
+
+    got = near.near_classes(spark.createDataFrame(rows, "id string, t string"), "id", words(F.col("t")), 0.7).toPandas()
+    found = got.groupby("class_id").size()
+    assert (found == 2).sum() >= 0.9985 * pairs and near.roots(0.7) == 5 and 0.88 < near.path_recall(0.7) < 0.89
+
+
+def test_path_recall_by_simulation():
+    rng = np.random.default_rng(3)
+    trials, hit = 600, 0
+    for _ in range(trials):
+        t = rng.choice(1 << 16, 100, replace=False)
+        sets = [np.unique(np.r_[t[:70], t[70:85] if s else t[85:]]) for s in (0, 1)]
+        flat, off = np.concatenate(sets), np.array([0, len(sets[0]), len(sets[0]) + len(sets[1])])
+        paths = [np.array([rng.integers(1 << 60)], dtype=np.uint64)] * 2
+        for _ in range(near.LEVELS):
+            paths = [near.children(flat, off, np.full(len(p), s), p)[1] for s, p in enumerate(paths)]
+            paths = [np.intersect1d(*paths)] * 2
+        hit += len(paths[0]) > 0
+    assert hit / trials == pytest.approx(near.path_recall(0.7), abs=0.045)
 
 
 def test_numbered_set_is_the_multiset():
