@@ -32,7 +32,7 @@ from loomspark.llm.components import components
 from loomspark.session import materialise
 
 BRANCH = 2
-SMALL = 100
+SMALL = 200
 LEVELS = 7
 RECALL = 0.9999
 PIVOTS = 3
@@ -141,8 +141,12 @@ def _short(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(rows), dtype=np.uint16).astype(np.int64), off
 
 
-def children(flat: np.ndarray, off: np.ndarray, row: np.ndarray, path: np.ndarray, branch: int = BRANCH, most: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """(index into ``row``, path) of the paths grown by the ``branch`` tokens that a hash drawn from the path puts first."""
+def token_hashes(flat: np.ndarray) -> np.ndarray:
+    return mix(flat.astype(np.uint64) + np.uint64(0x51ED27))
+
+
+def children(hashes: np.ndarray, off: np.ndarray, row: np.ndarray, path: np.ndarray, branch: int = BRANCH, most: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """(index into ``row``, path) of the paths grown by the ``branch`` tokens that a hash drawn from the path puts first; ``hashes`` are those of the sets' tokens."""
     length = off[row + 1] - off[row]
     ends = np.cumsum(length)
     at, grown, lo = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
@@ -155,8 +159,7 @@ def children(flat: np.ndarray, off: np.ndarray, row: np.ndarray, path: np.ndarra
         n = length[some]
         begin = np.cumsum(n) - n
         seg = np.repeat(np.arange(len(some)), n)
-        t = flat[np.repeat(off[row[some]] - begin, n) + np.arange(len(seg))].astype(np.uint64)
-        h = mix(mix(t + np.uint64(0x51ED27)) ^ mix(path[some])[seg])
+        h = mix(hashes[np.repeat(off[row[some]] - begin, n) + np.arange(len(seg))] ^ mix(path[some])[seg])
         for k in range(branch):
             best = np.minimum.reduceat(h, begin)
             use = np.flatnonzero(n > k)
@@ -181,7 +184,7 @@ def _grow(rest: int, tokens: bool):
             row = np.repeat(np.arange(batch.num_rows), n)
             path = np.asarray(lists.flatten().field("path")).astype(np.int64).view(np.uint64)
             done = np.asarray(lists.flatten().field("done").to_numpy(zero_copy_only=False), dtype=bool)
-            at, grown = children(flat, off, row, path)
+            at, grown = children(token_hashes(flat), off, row, path)
             r = pa.array(row[at])
             cols = [pa.array(grown.view(np.int64)), pa.array(np.full(len(at), rest, dtype=np.int32)), batch.column(0).take(r), batch.column(1).take(r), pa.array(done[at])]
             if tokens:
@@ -196,7 +199,7 @@ class Bucket:
 
     def __init__(self, node: np.ndarray, size: np.ndarray, flat: np.ndarray, off: np.ndarray, threshold: float, small: int):
         self.node, self.size, self.flat, self.off, self.threshold, self.small = node, size, flat, off, threshold, small
-        self.sketch = parity_sketches(flat, off)
+        self.sketch, self.hashes = parity_sketches(flat, off), token_hashes(flat)
         self.kinds, self.local = np.unique(node, return_inverse=True)
         self.sets: dict[int, set[int]] = {}
         self.seen: set[int] = set()
@@ -210,8 +213,11 @@ class Bucket:
         """Places of the pairs of rows that sizes and sketches allow."""
         x, y = self.size[a], self.size[b]
         at = np.flatnonzero((np.minimum(x, y) >= np.maximum(x, y) * self.threshold - 1e-9) & (self.node[a] != self.node[b]))
-        a, b = a[at], b[at]
-        return at[np.bitwise_count(self.sketch[a] ^ self.sketch[b]).sum(axis=1) <= self.most(a, b)]
+        # half of the sketch rules most pairs out
+        for half in (self.sketch[:, :2], self.sketch):
+            a1, b1 = a[at], b[at]
+            at = at[np.bitwise_count(half[a1] ^ half[b1]).sum(axis=1, dtype=np.int64) <= self.most(a1, b1)]
+        return at
 
     def tokens(self, row: int) -> set[int]:
         k = int(self.local[row])
@@ -268,6 +274,9 @@ class Bucket:
                 done |= star
             elif star.sum() > done.sum():
                 done = star
+            if star.sum() * 8 < len(rows):
+                # no crowd of copies
+                break
         left = np.flatnonzero(~done)
         if len(left) > self.small and not last:
             return done
@@ -291,7 +300,7 @@ class Bucket:
                     done[b : b + n] = settled
                     keep[b : b + n] = True
             open_ = np.flatnonzero(keep)
-            at, path = children(self.flat, self.off, row[open_], path[open_])
+            at, path = children(self.hashes, self.off, row[open_], path[open_])
             at = open_[at]
             row, rest, done = row[at], rest[at] - 1, done[at]
 

@@ -155,7 +155,7 @@ def test_path_recall_by_simulation():
         flat, off = np.concatenate(sets), np.array([0, len(sets[0]), len(sets[0]) + len(sets[1])])
         paths = [np.array([rng.integers(1 << 60)], dtype=np.uint64)] * 2
         for _ in range(near.LEVELS):
-            paths = [near.children(flat, off, np.full(len(p), s), p)[1] for s, p in enumerate(paths)]
+            paths = [near.children(near.token_hashes(flat), off, np.full(len(p), s), p)[1] for s, p in enumerate(paths)]
             paths = [np.intersect1d(*paths)] * 2
         hit += len(paths[0]) > 0
     assert hit / trials == pytest.approx(near.path_recall(0.7), abs=0.045)
