@@ -82,15 +82,25 @@ def roots(threshold: float, recall: float = RECALL, branch: int = BRANCH, levels
     return max(1, math.ceil(math.log(1 - recall) / math.log(max(1e-12, 1 - path_recall(threshold, levels, branch)))))
 
 
-def numbered_set(hashes: np.ndarray) -> np.ndarray:
-    """Distinct numbers for a multiset: the k-th occurrence of a word has a number of its own."""
-    h = np.sort(hashes.view(np.uint64))
-    if not len(h):
-        return h
-    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-    nth = np.arange(len(h), dtype=np.uint64) - np.repeat(first, np.diff(np.r_[first, len(h)])).astype(np.uint64)
+def numbered_sets(hashes: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(flat, offsets) of distinct numbers for each multiset: the k-th occurrence of a word has a number of its own."""
+    seg = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    h = hashes.view(np.uint64)
+    order = np.lexsort((h, seg))
+    h, seg = h[order], seg[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (seg[1:] != seg[:-1])][: len(h)]
+    first = np.flatnonzero(new)
+    nth = (np.arange(len(h)) - np.repeat(first, np.diff(np.r_[first, len(h)]))).astype(np.uint64)
     with np.errstate(over="ignore"):
-        return np.unique(mix(h + nth * np.uint64(0x9E3779B97F4A7C15)))
+        return sorted_sets(mix(h + nth * np.uint64(0x9E3779B97F4A7C15)), seg, len(off) - 1)
+
+
+def sorted_sets(flat: np.ndarray, seg: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(flat, offsets) of the distinct numbers of each of ``n`` segments, in order."""
+    order = np.lexsort((flat, seg))
+    flat, seg = flat[order], seg[order]
+    new = np.r_[True, (flat[1:] != flat[:-1]) | (seg[1:] != seg[:-1])][: len(flat)]
+    return flat[new], np.r_[0, np.cumsum(np.bincount(seg[new], minlength=n))]
 
 
 def parity_sketches(flat: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -110,20 +120,18 @@ _NODE = "node bigint, size int, tokens array<bigint>, short binary"
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column(0)
-        node, size, flat, at, short = [], [], [], [0], []
         lists = batch.column(1)
-        off, val = np.asarray(lists.offsets), np.asarray(lists.values).astype(np.int64)
-        for i in range(batch.num_rows):
-            t = numbered_set(val[off[i] : off[i + 1]])
-            with np.errstate(over="ignore"):
-                node.append(np.add.reduce(mix(t + np.uint64(1))).astype(np.uint64).view(np.int64) if len(t) else np.int64(0))
-            size.append(len(t))
-            flat.append(t.view(np.int64))
-            at.append(at[-1] + len(t))
-            short.append(np.unique((t >> np.uint64(40)).astype(np.uint16)).tobytes())
-        tokens = pa.ListArray.from_arrays(pa.array(np.array(at, dtype=np.int32)), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([ids, pa.array(np.array(node, dtype=np.int64)), pa.array(np.array(size, dtype=np.int32)), tokens, pa.array(short, pa.binary())], names=["id", "node", "size", "tokens", "short"])
+        at = np.asarray(lists.offsets).astype(np.int64)
+        flat, off = numbered_sets(np.asarray(lists.values).astype(np.int64)[at[0] : at[-1]], at - at[0])
+        size = np.diff(off)
+        with np.errstate(over="ignore"):
+            sums = np.r_[np.uint64(0), np.cumsum(mix(flat + np.uint64(1)), dtype=np.uint64)]
+            node = (sums[off[1:]] - sums[off[:-1]]).view(np.int64)
+        cut, ends = sorted_sets((flat >> np.uint64(40)).astype(np.uint16), np.repeat(np.arange(len(size)), size), len(size))
+        data = cut.tobytes()
+        short = [data[2 * x : 2 * y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        tokens = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(flat.view(np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node), pa.array(size.astype(np.int32)), tokens, pa.array(short, pa.binary())], names=["id", "node", "size", "tokens", "short"])
 
 
 def word_sets(df: DataFrame, key: str, content: Column) -> DataFrame:

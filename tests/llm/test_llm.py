@@ -161,10 +161,12 @@ def test_path_recall_by_simulation():
     assert hit / trials == pytest.approx(near.path_recall(0.7), abs=0.045)
 
 
-def test_numbered_set_is_the_multiset():
-    h = np.array([5, 5, 5, 9], dtype=np.int64)
-    a, b = near.numbered_set(h), near.numbered_set(np.array([5, 5, 9, 9], dtype=np.int64))
-    assert len(a) == 4 and len(np.intersect1d(a, b)) == 3 and len(near.numbered_set(np.zeros(0, np.int64))) == 0
+def test_numbered_sets_are_the_multisets():
+    h = np.array([5, 5, 5, 9, 5, 5, 9, 9], dtype=np.int64)
+    flat, off = near.numbered_sets(h, np.array([0, 4, 4, 8]))
+    a, empty, b = (flat[x:y] for x, y in zip(off, off[1:], strict=False))
+    assert len(a) == 4 and len(b) == 4 and len(np.intersect1d(a, b)) == 3 and not len(empty)
+    assert near.numbered_sets(np.zeros(0, np.int64), np.zeros(1, np.int64))[1].tolist() == [0]
 
 
 def test_components(spark):
