@@ -5,12 +5,13 @@ expectation and maximisation estimate each source's accuracy from the posterior
 sources, the probability that one copies the other, from the false values they share. A copied vote is discounted before
 the posterior of the values is taken; the value with the largest posterior survives.
 
-The prior is a parameter. ``flat`` lets the votes decide. ``strict`` is the limit of a prior whose odds between
-neighbours in the field's order of preference (most complete, most recent, strongest) exceed all votes, so that the
-posterior's largest value is the best usable one and the votes decide among values of equal preference only.
+The prior is a parameter. ``flat`` lets the votes decide. ``strict`` prefers the best usable value of a group and field
+(most complete, most recent, strongest) to each other one by log-odds of ``PREFERENCE``, which is more than all votes can
+sum up to; the survivor is the value of the largest posterior in either case.
 
 Everything is aggregated before it is shuffled; per group and field only sources, values and sums move. The sources'
-statistics come to the driver: their number is checked against ``MAX_SOURCES``, so at most its square of numbers.
+statistics come to the driver: all but the ``MAX_SOURCES - 1`` that claim most are one source, so at most its square of
+numbers.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.session import discard, materialise
+from loomspark.session import materialise
 
 MAX_SOURCES = 64
 FALSE_VALUES = 20.0
@@ -29,6 +30,9 @@ COPY_RATE = 0.8
 """Probability that a copier takes a value over rather than finding it itself."""
 COPY_PRIOR = 0.2
 START_ACCURACY = 0.8
+PREFERENCE = 450.0
+"""Log-odds of the strict prior: above the votes of ``MAX_SOURCES`` sources of the largest accuracy, which sum up to 441."""
+OTHERS = "(others)"
 
 
 def _clip(x: float, lo: float = 0.02, hi: float = 0.98) -> float:
@@ -56,64 +60,75 @@ def _score(sources: Column, weight: list[float], depend: list[list[float]]) -> C
     return F.aggregate(sources, F.lit(0.0), lambda acc, i: acc + F.element_at(w, (i + 1).cast("int")) * alone(i))
 
 
-def _posterior(values: DataFrame, weight: list[float], depend: list[list[float]]) -> DataFrame:
-    scored = values.withColumn("score", F.least(_score(F.col("sources"), weight, depend), F.lit(500.0)))
-    total = scored.groupBy("g", "field").agg(F.sum(F.exp("score")).alias("z"), F.count("*").alias("n"), F.max("score").alias("top"))
-    joined = scored.join(total, ["g", "field"])
-    rest = F.greatest(F.lit(FALSE_VALUES + 1) - F.col("n"), F.lit(0.0))
-    return joined.withColumn("posterior", F.exp("score") / (F.col("z") + rest)).withColumn("is_map", F.col("score") >= F.col("top"))
+def _posterior(values: DataFrame, weight: list[float], depend: list[list[float]], strict: bool) -> DataFrame:
+    """Score (votes and prior, in logarithms), posterior, number of values and whether it is the largest, of each value."""
+    scored = values.withColumn("score", _score(F.col("sources"), weight, depend))
+    keys = ["g", "field"]
+    if strict:
+        best = scored.groupBy(*keys).agg(F.max("pref").alias("best"))
+        scored = scored.join(best, keys).withColumn("score", F.when(F.col("pref") == F.col("best"), F.col("score")).otherwise(F.col("score") - PREFERENCE)).drop("best")
+    top = scored.groupBy(*keys).agg(F.max("score").alias("top"))
+    scaled = scored.join(top, keys)
+    total = scaled.groupBy(*keys).agg(F.sum(F.exp(F.col("score") - F.col("top"))).alias("z"), F.count("*").alias("n"))
+    # values that nobody claims have no votes
+    rest = F.greatest(F.lit(FALSE_VALUES + 1) - F.col("n"), F.lit(0.0)) * F.exp(-F.col("top") - (PREFERENCE if strict else 0.0))
+    return scaled.join(total, keys).withColumn("posterior", F.exp(F.col("score") - F.col("top")) / (F.col("z") + rest)).withColumn("is_map", F.col("score") >= F.col("top"))
+
+
+def _pairs(sources: str) -> Column:
+    """All (i, j), i <= j, of a row's sources."""
+    return F.explode(F.flatten(F.transform(sources, lambda i: F.transform(F.filter(sources, lambda j: j >= i), lambda j: F.struct(i.alias("i"), j.alias("j"))))))
 
 
 def fuse(claims: DataFrame, prior: str = "strict", rounds: int = 2) -> DataFrame:
-    """One row per (g, field): the surviving ``value``, the ``member`` it is taken from, and its ``posterior``.
+    """One row per (g, field): the surviving ``value``, the ``member`` it is taken from, its ``posterior``, and its ``margin``: the log-odds to the next value, null if there is none.
 
-    ``claims``: g, field, member, source (string), value (string), pref (double; larger is better, null or NaN = the value
-    isn't usable). Unusable values have no posterior; a group and field without a usable value give no row. A null source
-    is a source of its own. Of members with the same value the smallest id is named, of equal posteriors the better and
-    then the smaller value. Repeated claims count once a source. Clashing extra columns are ignored.
+    ``claims``: g, field, member, source (string), value (string), pref (double; larger is better). A claim whose pref is
+    null or NaN votes for its value but can't be taken: if no other claim of the group and field has the value, it can't
+    survive. A group and field without a value that can be taken give no row; null values are no claims. A null source is a
+    source of its own. Of members with the same value the smallest id is named, of equal posteriors the better and then
+    the smaller value. Repeated claims count once a source. Clashing extra columns are ignored.
     """
     if prior not in ("strict", "flat"):
         raise ValueError(prior)
-    c = claims.select("g", "field", "member", F.coalesce("source", F.lit("")).alias("source"), "value", F.col("pref").cast("double").alias("pref")).where("value is not null and pref is not null and not isnan(pref)")
+    strict = prior == "strict"
+    pref = F.col("pref").cast("double")
+    c = claims.select("g", "field", "member", F.coalesce("source", F.lit("")).alias("source"), "value", F.when(~F.isnan(pref), pref).alias("pref")).where("value is not null")
     # one row per (group, field, value, source): copies of a third of all rows shrink to one row before the shuffle
-    kept = materialise(c.groupBy("g", "field", "value", "source").agg(F.min("member").alias("member"), F.max("pref").alias("pref")))
-    names = [r[0] for r in kept.select("source").distinct().limit(MAX_SOURCES + 1).collect()]
+    taken = F.when(F.col("pref").isNotNull(), F.col("member"))
+    kept = materialise(c.groupBy("g", "field", "value", "source").agg(F.min(taken).alias("member"), F.max("pref").alias("pref")))
+    names = [r[0] for r in kept.groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(MAX_SOURCES + 1).collect()]
     if len(names) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; name coarser ones")
-    names.sort()
+        named = F.when(F.col("source").isin(names[: MAX_SOURCES - 1]), F.col("source")).otherwise(OTHERS)
+        kept = kept.groupBy("g", "field", "value", named.alias("source")).agg(F.min("member").alias("member"), F.max("pref").alias("pref"))
+        names = [*names[: MAX_SOURCES - 1], OTHERS]
+    names = sorted(set(names))
     accuracy = {s: START_ACCURACY for s in names}
     depend = {(s, t): 0.0 for s in names for t in names}
-    n = max(1, len(names))
 
-    def valued(order: list[str]) -> DataFrame:
-        place = F.create_map(*[x for i, s in enumerate(order) for x in (F.lit(s), F.lit(i))]) if order else F.create_map(F.lit(""), F.lit(0))
-        return kept.groupBy("g", "field", "value").agg(F.sort_array(F.collect_set(F.element_at(place, F.col("source")))).alias("sources"), F.min("member").alias("member"), F.max("pref").alias("pref"))
+    def placed(order: list[str]) -> Column:
+        return F.element_at(F.create_map(*[x for i, s in enumerate(order or [""]) for x in (F.lit(s), F.lit(i))]), F.col("source"))
 
     for turn in range(rounds + 1):
         order = sorted(names, key=lambda s: (-accuracy[s], s))
         weight = [math.log(FALSE_VALUES * accuracy[s] / (1 - accuracy[s])) for s in order] or [0.0]
         matrix = [[depend[s, t] for t in order] for s in order] or [[0.0]]
-        scored = _posterior(valued(order), weight, matrix)
-        if turn == rounds or n == 1:
+        valued = kept.groupBy("g", "field", "value").agg(F.sort_array(F.collect_set(placed(order))).alias("sources"), F.min("member").alias("member"), F.max("pref").alias("pref"))
+        scored = _posterior(valued, weight, matrix, strict)
+        if turn == rounds or len(names) <= 1:
             break
-        scored = scored.select("g", "field", "sources", "posterior", "is_map")
-        # one pass gives accuracies (pairs of a source with itself) and agreements of sources on true and on false values
-        pairs = F.flatten(F.transform("sources", lambda i: F.transform(F.filter("sources", lambda j: j >= i), lambda j: F.struct(i.alias("i"), j.alias("j")))))
-        agree = scored.select("is_map", "posterior", F.explode(pairs).alias("p")).groupBy("p.i", "p.j").agg(F.sum(F.when(F.col("is_map"), 1).otherwise(0)).alias("t"), F.sum(F.when(F.col("is_map"), 0).otherwise(1)).alias("f"), F.avg("posterior").alias("a")).collect()
-        place = F.create_map(*[x for i, s in enumerate(order) for x in (F.lit(s), F.lit(i))])
-        seen = kept.groupBy("g", "field").agg(F.collect_set(F.element_at(place, F.col("source"))).alias("s"), F.min("value").alias("lo"), F.max("value").alias("hi")).where("lo <> hi")
-        both = seen.select(F.explode(F.flatten(F.transform("s", lambda i: F.transform(F.filter("s", lambda j: j > i), lambda j: F.struct(i.alias("i"), j.alias("j")))))).alias("p")).groupBy("p.i", "p.j").agg(F.count("*").alias("n")).collect()
-        accuracy = {order[r["i"]]: _clip(r["a"]) for r in agree if r["i"] == r["j"]}
-        same = {(r["i"], r["j"]): (r["t"], r["f"]) for r in agree if r["i"] != r["j"]}
+        # accuracies from pairs of a source with itself over all values; agreements from the groups whose values conflict
+        agree = scored.select("is_map", "posterior", "n", _pairs("sources").alias("p")).groupBy("p.i", "p.j").agg(F.sum(F.when((F.col("n") > 1) & F.col("is_map"), 1).otherwise(0)).alias("t"), F.sum(F.when((F.col("n") > 1) & ~F.col("is_map"), 1).otherwise(0)).alias("f"), F.avg("posterior").alias("a")).collect()
+        spoke = kept.groupBy("g", "field").agg(F.sort_array(F.collect_set(placed(order))).alias("s"), F.min("value").alias("lo"), F.max("value").alias("hi")).where("lo <> hi")
+        both = spoke.select(_pairs("s").alias("p")).where("p.i < p.j").groupBy("p.i", "p.j").agg(F.count("*").alias("n")).collect()
+        accuracy = {**accuracy, **{order[r["i"]]: _clip(r["a"]) for r in agree if r["i"] == r["j"]}}
+        same = {(r["i"], r["j"]): (r["t"], r["f"]) for r in agree}
         for r in both:
             i, j = r["i"], r["j"]
             t, f = same.get((i, j), (0, 0))
-            p = copy_probability(t, f, max(0, r["n"] - f), accuracy[order[i]], accuracy[order[j]])
-            depend[order[i], order[j]] = depend[order[j], order[i]] = p
-    best = F.struct("pref", "posterior", "value") if prior == "strict" else F.struct("posterior", "pref", "value")
-    out = scored.groupBy("g", "field").agg(F.max_by(F.struct("value", "member", "posterior"), best).alias("w"))
-    return out.select("g", "field", "w.value", "w.member", "w.posterior")
-
-
-def discard_claims(df: DataFrame) -> None:
-    discard(df)
+            depend[order[i], order[j]] = depend[order[j], order[i]] = copy_probability(t, f, max(0, r["n"] - t - f), accuracy[order[i]], accuracy[order[j]])
+    best = F.struct("score", "pref", "value")
+    won = scored.where("pref is not null").groupBy("g", "field").agg(F.max_by(F.struct("value", "member", "posterior", "score"), best).alias("w"))
+    beaten = scored.join(won, ["g", "field"]).where("value <> w.value").groupBy("g", "field").agg(F.max("score").alias("next"))
+    out = won.join(beaten, ["g", "field"], "left")
+    return out.select("g", "field", "w.value", "w.member", "w.posterior", (F.col("w.score") - F.col("next")).alias("margin"))

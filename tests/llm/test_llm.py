@@ -25,7 +25,7 @@ CLAIM = "g string, field string, member string, source string, value string, pre
 
 
 def test_strict_prior_takes_the_best_usable_value(spark):
-    rows = [("g", "f", "B", "s1", "5", 5.0, "x"), ("g", "f", "A", "s1", "5", 5.0, "x"), ("g", "f", "C", "s2", "4", 4.0, "x"), ("g", "f", "D", None, "9", None, "x"), ("g", "f", "E", "s2", "9", float("nan"), "x"), ("h", "f", "A", "s1", None, 1.0, "x")]
+    rows = [("g", "f", "B", "s1", "5", 5.0, "x"), ("g", "f", "A", "s1", "5", 5.0, "x"), ("g", "f", "C", "s2", "4", 4.0, "x"), ("g", "f", "D", None, "9", None, "x"), ("g", "f", "E", "s2", "9", float("nan"), "x"), ("h", "f", "A", "s1", None, 1.0, "x"), ("i", "f", "A", "s1", "3", None, "x")]
     got = fusion.fuse(spark.createDataFrame(rows * 3, CLAIM)).collect()
     assert [(r["g"], r["value"], r["member"]) for r in got] == [("g", "5", "A")]
     assert fusion.fuse(spark.createDataFrame([], CLAIM)).count() == 0
@@ -50,14 +50,43 @@ def test_votes_of_copiers_are_discounted(spark):
     assert fusion.copy_probability(10, 30, 5, 0.7, 0.7) > 0.99 > 0.3 > fusion.copy_probability(30, 0, 30, 0.7, 0.7)
 
 
-def test_too_many_sources_are_refused(spark):
-    rows = [("g", "f", "m", f"s{i}", "v", 1.0, "") for i in range(fusion.MAX_SOURCES + 1)]
-    with pytest.raises(ValueError):
-        fusion.fuse(spark.createDataFrame(rows, CLAIM))
+def test_many_sources_are_one(spark):
+    rows = [("g", "f", f"m{i:03d}", f"s{i:03d}", "v" if i % 3 else "w", 1.0, "") for i in range(2 * fusion.MAX_SOURCES)]
+    assert [tuple(r)[:4] for r in fusion.fuse(spark.createDataFrame(rows, CLAIM), prior="flat").collect()] == [("g", "f", "v", "m001")]
+
+
+def test_votes_change_the_posterior_of_the_strict_prior(spark):
+    claims = [("g", "f", "A", "s1", "5", 5.0, ""), ("g", "f", "B", "s2", "4", 4.0, "")]
+    one = fusion.fuse(spark.createDataFrame(claims, CLAIM), rounds=0).first()
+    more = fusion.fuse(spark.createDataFrame([*claims, ("g", "f", "C", "s3", "4", 4.0, ""), ("g", "f", "D", "s4", "4", None, "")], CLAIM), rounds=0).first()
+    vote = math.log(fusion.FALSE_VALUES * 4)
+    assert one["value"] == more["value"] == "5" and one["margin"] == pytest.approx(fusion.PREFERENCE) and more["margin"] == pytest.approx(fusion.PREFERENCE - 2 * vote)
+    assert fusion.PREFERENCE > fusion.MAX_SOURCES * math.log(fusion.FALSE_VALUES * 0.98 / 0.02)
+    flat = fusion.fuse(spark.createDataFrame(claims, CLAIM), prior="flat", rounds=0).first()
+    assert flat["value"] == "5" and 0.4 < flat["posterior"] < 0.5 and flat["margin"] == 0.0
+
+
+def test_copiers_that_mostly_agree_on_truth(spark):
+    """Two sources share false values, though most of what they agree on is true; independent ones err alone."""
+    rng = random.Random(6)
+    rows = []
+    for g in range(150):
+        truth = f"t{g}"
+        for s in ("a", "b", "c"):
+            rows.append((f"g{g}", "f", s, s, truth if rng.random() < 0.75 else f"{s}{g}", 1.0, ""))
+        said = truth if rng.random() < 0.7 else f"lie{g}"
+        rows += [(f"g{g}", "f", s, s, said, 1.0, "") for s in ("x", "y", "z")]
+    out = fusion.fuse(spark.createDataFrame(rows, CLAIM), prior="flat", rounds=4).collect()
+    right = sum(r["value"] == "t" + r["g"][1:] for r in out)
+    groups = defaultdict(Counter)
+    for x in rows:
+        groups[x[0]][x[4]] += 1
+    majority = sum(c.most_common(1)[0][0] == "t" + g[1:] for g, c in groups.items())
+    assert right > majority + 5 and right >= 125
 
 
 def test_twins_edges(spark):
-    c = spark.createDataFrame([("B", " X  y ", "h", None, "[]", True, None), ("A", "x Y", "H", "", "[]", None, False), ("A", "x Y", "H", "", "[]", None, False), ("C", "z", "h", None, "[]", None, None), (None, "x y", "h", "", "[]", None, None)], "candidate_id string, anonymized_name string, headline string, summary string, skill_names_json string, verified_email boolean, verified_phone boolean")
+    c = spark.createDataFrame([("B", " X  y ", "h", None, "[]", 50.0, None), ("A", "x Y", "H", "", "[]", None, False), ("A", "x Y", "H", "", "[]", 700.0, False), ("C", "z", "h", None, "[]", None, None), (None, "x y", "h", "", "[]", None, None)], "candidate_id string, anonymized_name string, headline string, summary string, skill_names_json string, profile_completeness_score double, verified_phone boolean")
     t = spark.createDataFrame([("A", 0.4), ("B", 1.2), ("B", None)], "candidate_id string, behavioral_strength double")
     ts = lambda d: dt.datetime(2026, 1, d)
     s = spark.createDataFrame([("A", ts(1), 50.0, dt.date(2026, 1, 1)), ("A", ts(2), 300.0, dt.date(2027, 1, 1)), ("B", ts(3), 50.0, dt.date(2026, 2, 1))], "candidate_id string, snapshot_at timestamp, profile_completeness_score double, last_active_date date")
