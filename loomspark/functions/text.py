@@ -53,8 +53,3 @@ def word_match(c: Column, keyword: str) -> Column:
     quoted = "\\Q" + keyword + "\\E"
     return c.rlike(rf"(^|[^\p{{L}}\p{{N}}_]){quoted}($|[^\p{{L}}\p{{N}}_])")
 
-
-def delimited_match(c: Column, keyword: str) -> Column:
-    """True if the keyword stands between white space, comma or semicolon: for names that end in symbols."""
-    quoted = "\\Q" + keyword + "\\E"
-    return c.rlike(rf"(?:^|[\s,;]){quoted}(?:$|[\s,;])")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions.coerce import as_feature, col_or
 from loomspark.operators.joins import join_first_wins
+from loomspark.operators.ranks import quantiles
 from loomspark.session import discard, materialise
 
 RETRIEVAL = ["bm25_score", "dense_score", "rrf_score", "bm25_rank", "dense_rank"]
@@ -64,7 +65,7 @@ def persona_utilities(df: DataFrame) -> DataFrame:
 
 def relevance(df: DataFrame, group: str = "persona", score: str = "utility") -> DataFrame:
     """ML5: labels 0-4 by exact quantiles per judge; flagged rows are 0."""
-    q = df.groupBy(group).agg(F.percentile(score, F.lit(QUANTILES)).alias("q"))
+    q = quantiles(df, group, score, QUANTILES)
     flagged = F.coalesce(col_or(df, "honeypot_score", 0.0) > 0.6, F.lit(False)) | F.coalesce(col_or(df, "is_honeypot", False), F.lit(False))
     s, at = F.col(score), lambda i: F.col("q")[i]
     label = F.when(flagged, 0).when(s <= at(0), 0).when(s <= at(1), 1).when(s <= at(2), 2).when(s <= at(3), 3).otherwise(4)

@@ -1,8 +1,8 @@
 """Hybrid retrieval (RT1-8): BM25 over postings, cosine over stored vectors, reciprocal rank fusion.
 
 BM25 counts lengths and document frequencies over all documents; postings of terms the query lacks never leave the
-aggregation. The two rank lists are numbered by a total order. ``depth`` limits each list by a distributed top-k before it
-is numbered, which keeps the numbering in one small task; without it the numbering is exact for every document.
+aggregation. The two rank lists are numbered by a total order over range partitions, exactly for every document; ``depth``
+limits each list by a distributed top-k instead.
 """
 
 from __future__ import annotations
@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from loomspark.functions.text import tokens
+from loomspark.operators.ranks import numbered
 from loomspark.operators.requirement import Requirement
+from loomspark.session import materialise
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
@@ -38,18 +40,22 @@ def bm25(docs: DataFrame, key: str, text: str, query: str, k1: float = K1, b: fl
     """
     wanted = Counter(t for t in query.lower().split() if t)
     d = docs.select(F.col(key), tokens(F.col(text)).alias("_t"))
-    sizes = d.select(key, F.size("_t").alias("_len"), F.filter("_t", lambda x: x.isin(list(wanted)) if wanted else F.lit(False)).alias("_hits"))
-    total = d.agg(F.count("*").alias("n"), F.avg(F.size("_t")).alias("avg_len"))
+    # the texts are read twice: for lengths and hits of each document, which are kept, and for the document frequencies
+    hit = F.filter("_t", lambda x: x.isin(list(wanted)) if wanted else F.lit(False))
+    sizes = materialise(d.select(key, F.size("_t").alias("_len"), hit.alias("_hits")))
+    total = sizes.agg(F.count("*").alias("n"), F.avg("_len").alias("avg_len"))
     terms = d.select(F.explode(F.array_distinct("_t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     raw = terms.crossJoin(F.broadcast(total)).select("term", "avg_len", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))  # one row
-    mean = raw.agg(F.avg("idf").alias("mean_idf"))
-    weights = raw.where(F.col("term").isin(list(wanted))).crossJoin(F.broadcast(mean)).select("term", "avg_len", F.when(F.col("idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))  # one row
+    named = F.col("term").isin(list(wanted)) if wanted else F.lit(False)
+    # one pass over all terms gives the mean and the few weights of the query's own
+    few = raw.agg(F.avg("idf").alias("mean_idf"), F.collect_list(F.when(named, F.struct("term", "avg_len", "idf"))).alias("w"))
+    weights = few.select("mean_idf", F.explode("w").alias("w")).select("w.term", "w.avg_len", F.when(F.col("w.idf") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("w.idf")).alias("idf"))
     times = F.create_map(*[x for t, n in sorted(wanted.items()) for x in (F.lit(t), F.lit(float(n)))]) if wanted else F.create_map(F.lit(""), F.lit(0.0))
     hits = sizes.where(F.size("_hits") > 0).select(key, "_len", F.explode("_hits").alias("term")).groupBy(key, "_len", "term").agg(F.count("*").alias("f"))
     scored = hits.join(weights, "term")
     part = F.element_at(times, F.col("term")) * F.col("idf") * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("_len") / F.col("avg_len")))
     sums = scored.groupBy(key).agg(F.sum(part).alias("s"))
-    return d.select(key).join(sums, key, "left").select(key, F.coalesce("s", F.lit(0.0)).alias("bm25_score"))
+    return sizes.select(key).join(sums, key, "left").select(key, F.coalesce("s", F.lit(0.0)).alias("bm25_score"))
 
 
 def cosine(v: Column, w: Column, eps: float = 1e-9) -> Column:
@@ -60,9 +66,11 @@ def cosine(v: Column, w: Column, eps: float = 1e-9) -> Column:
 
 
 def rank_by(df: DataFrame, score: str, key: str, name: str, depth: int | None = None) -> DataFrame:
-    """WN1: places from 1 by score, best first; equal scores by key."""
-    top = df if depth is None else df.orderBy(F.desc(score), F.asc(key)).limit(depth)
-    return top.withColumn(name, F.row_number().over(Window.orderBy(F.desc(score), F.asc(key))))
+    """WN1: places from 1 by score, best first; equal scores by key. ``depth`` keeps the best so many."""
+    order = (F.desc(score), F.asc(key))
+    if depth is None:
+        return numbered(df, name, *order)
+    return df.orderBy(*order).limit(depth).withColumn(name, F.row_number().over(Window.orderBy(*order)))
 
 
 def fuse_ranks(*ranks: Column, k: int = RRF_K) -> Column:

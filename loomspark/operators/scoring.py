@@ -41,6 +41,16 @@ def min_max(df: DataFrame, score: str, to: str = "score", digits: int = 4) -> Da
     return out.withColumn(to, F.round((F.col(score) - F.col("_lo")) / span * 100.0, digits)).drop("_lo", "_hi")
 
 
+def one_decimal(x: Column) -> Column:
+    """A number that isn't negative with one digit, rounded by its exact binary value (0.35 is below its name and gives 0.3), ties to even."""
+    k = F.floor(x * 10)
+    # two parts of few bits: twenty times each is exact, so that the sign of the difference to the middle is
+    high = x.cast("float").cast("double")
+    above = (high * 20 - (k * 2 + 1)) + (x - high) * 20
+    tenths = F.when(above > 0, k + 1).when(above < 0, k).otherwise(k + k % 2)
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def reasoning(df: DataFrame) -> Column:
     """FS8-10: two sentences from the row's own facts; absent and null facts are left out or named as such."""
     # The phrases that the sentences are made of.
@@ -49,7 +59,7 @@ def reasoning(df: DataFrame) -> Column:
     years = F.coalesce(col_or(df, "years_of_experience", None).cast("double"), z("total_experience"))
     skills = F.slice(F.filter(json_array(col_or(df, "skill_names_json", None).cast("string")), lambda s: s != ""), 1, 3)
     shown = F.when(F.size(skills) > 0, F.array_join(skills, ", ")).otherwise("required technical skills")
-    first = F.concat(F.coalesce(text("headline"), text("current_title"), F.lit("Software Engineer")), F.lit(" with "), F.format_string("%.1f", F.bround(years, 1)), F.lit(" years of experience, demonstrating expertise in "), shown, F.lit("."))
+    first = F.concat(F.coalesce(text("headline"), text("current_title"), F.lit("Software Engineer")), F.lit(" with "), one_decimal(years), F.lit(" years of experience, demonstrating expertise in "), shown, F.lit("."))
     rate = (z("signal_recruiter_response_rate") * 100).cast("int")
     mood = F.when(F.coalesce(col_or(df, "open_to_work_flag", False), F.lit(False)), "Candidate is actively open to new work").otherwise("Profile shows stable engagement")
     said = F.when(rate > 50, F.concat(F.lit("a high recruiter response rate of "), rate.cast("string"), F.lit("%"))).when(rate > 0, F.concat(F.lit("a response rate of "), rate.cast("string"), F.lit("%")))

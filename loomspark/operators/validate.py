@@ -24,7 +24,8 @@ def column_report(df: DataFrame) -> DataFrame:
 def table_report(raw: DataFrame, candidates: DataFrame | None = None, rows: int = 100) -> DataFrame:
     """VA2-14 over a table of text columns; wrong columns give that row alone. An empty table fails the row count.
 
-    One aggregate counts all that counting decides; order is checked by one window over at most ``rows`` numbered lines.
+    One aggregate counts all that counting decides; order is checked by one window over the lines of
+    places up to ``rows``; others fail the ranks or the row count.
     """
     if raw.columns != COLUMNS:
         return column_report(raw)
@@ -32,7 +33,7 @@ def table_report(raw: DataFrame, candidates: DataFrame | None = None, rows: int
     t = t.withColumn("rank", F.when(F.col("rank_text").rlike(r"^[1-9][0-9]*$"), F.col("rank_text").try_cast("int"))).withColumn("score", F.col("score_text").try_cast("double"))
     finite = F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < float("inf"))
     w = Window.orderBy("rank", "id")
-    o = t.where("rank is not null").select("rank", "id", "score", F.lag("score").over(w).alias("before"), F.lag("id").over(w).alias("id_before"))
+    o = t.where(F.col("rank").between(1, rows)).select("rank", "id", "score", F.lag("score").over(w).alias("before"), F.lag("id").over(w).alias("id_before"))
     order = o.agg(F.count_if(F.col("score") > F.col("before")).alias("rises"), F.count_if((F.col("score") == F.col("before")) & (F.col("id") < F.col("id_before"))).alias("tie_swaps"))
     full = F.col("reasoning") != ""
     text = lambda c: F.array_sort(F.collect_set(F.when(c & full, F.col("reasoning"))))

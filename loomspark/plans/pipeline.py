@@ -21,15 +21,19 @@ MODEL = "hashed-64"
 class Pipeline:
     """Stages over a working folder; ``as_of`` pins all dates."""
 
-    def __init__(self, spark: SparkSession, work: str, lines: str | None = None, need: str | None = None, top_retrieved: int = 5000, top_ranked: int = 500, top_result: int = 100, rounds: int = 100, filter_flagged: bool = True, as_of=checks.AS_OF):
+    def __init__(self, spark: SparkSession, work: str, lines: str | None = None, need: str | None = None, top_retrieved: int = 5000, top_ranked: int = 500, top_result: int = 100, rounds: int = 100, filter_flagged: bool = True, as_of=checks.AS_OF, paths: dict[str, str] | None = None, vectors: str | None = None, scores: str | None = None):
+        self.paths = paths or {}
         self.spark, self.work, self.lines, self.need = spark, work.rstrip("/"), lines, need
         self.top_retrieved, self.top_ranked, self.top_result, self.rounds, self.filter_flagged, self.as_of = top_retrieved, top_ranked, top_result, rounds, filter_flagged, as_of
 
+        self.vectors, self.scores = vectors or self.path("vectors.parquet"), scores or self.path("scores.parquet")
+
     def path(self, name: str) -> str:
-        return f"{self.work}/{name}"
+        """Where an artefact lies: ``paths`` may name another place for it."""
+        return self.paths.get(name, f"{self.work}/{name}")
 
     def read(self, name: str) -> DataFrame:
-        artifacts.require(self.path(name))
+        artifacts.require(self.spark, self.path(name))
         return self.spark.read.parquet(self.path(name))
 
     def write(self, df: DataFrame, name: str) -> int:
@@ -41,11 +45,15 @@ class Pipeline:
         report = records.report(self.read("lines.parquet"))
         if not report.parsed:
             raise ValueError(f"no valid line in {self.lines}: {report.summary()}")
+        # of several records of one id all stages see the same one: that of the largest line
+        ok = self.read("lines.parquet").where("status = 'ok'")
+        kept = ok.groupBy("candidate_id").agg(F.max("value").alias("value"))
+        self.write(ok.join(kept, ["candidate_id", "value"], "left_semi").drop("value", "status", "errors").dropDuplicates(["candidate_id"]), "records.parquet")
         self.write(normalise.flatten(self._nested()), "candidates.parquet")
         return report
 
     def _nested(self) -> DataFrame:
-        return self.read("lines.parquet").where("status = 'ok'").drop("value", "status", "errors").dropDuplicates(["candidate_id"])
+        return self.read("records.parquet")
 
     def anomalies(self) -> int:
         return self.write(checks.detect(self._nested(), as_of=self.as_of), "anomalies.parquet")
@@ -57,15 +65,17 @@ class Pipeline:
         artifacts.write_requirement(self.spark, requirement.parse(self.spark, artifacts.read_text(self.spark, self.need)), self.path("requirement.json"))
 
     def _need(self) -> requirement.Requirement:
-        artifacts.require(self.path("requirement.json"))
+        artifacts.require(self.spark, self.path("requirement.json"))
         return artifacts.read_requirement(self.spark, self.path("requirement.json"))
 
     def retrieve(self) -> int:
         query = retrieval.query_text(self._need())
-        cache = artifacts.read_cache(self.spark, self.path("vectors.parquet"), artifacts.VECTOR_CACHE)
+        cache = artifacts.read_cache(self.spark, self.vectors, artifacts.VECTOR_CACHE)
         docs, fresh = retrieval.encode_missing(self.read("candidates.parquet").select("candidate_id", "normalized_text"), "normalized_text", cache, MODEL)
         self.write(docs.select("candidate_id", "normalized_text", "vector"), "encoded.parquet")
-        artifacts.append_cache(self.read("encoded.parquet").select(F.lit(MODEL).alias("model"), F.sha2("normalized_text", 256).alias("digest"), "vector").dropDuplicates(["digest"]).join(cache.select("digest"), "digest", "left_anti").select("model", "digest", "vector"), self.path("vectors.parquet")) if not fresh.isEmpty() else None
+        if not fresh.isEmpty():
+            new = self.read("encoded.parquet").select(F.lit(MODEL).alias("model"), F.sha2("normalized_text", 256).alias("digest"), "vector").dropDuplicates(["digest"])
+            artifacts.append_cache(new.join(cache.select("digest"), "digest", "left_anti").select("model", "digest", "vector"), self.vectors)
         vector = list(self.spark.range(1).select(retrieval.hashed_vector(F.lit(query)).alias("v")).first()["v"])
         return self.write(retrieval.hybrid(self.read("encoded.parquet"), "candidate_id", "normalized_text", "vector", query, vector, self.top_retrieved), "retrieved.parquet")
 
@@ -90,10 +100,10 @@ class Pipeline:
         return self.write(ranker.rank(df, artifacts.read_model(self.spark, self.path("model.json")), self.top_ranked), "ranked.parquet")
 
     def rerank(self) -> int:
-        cache = artifacts.read_cache(self.spark, self.path("scores.parquet"), artifacts.SCORE_CACHE)
+        cache = artifacts.read_cache(self.spark, self.scores, artifacts.SCORE_CACHE)
         best, fresh = ranker.rerank(self.read("ranked.parquet"), self.read("candidates.parquet"), artifacts.read_text(self.spark, self.need), cache, top_k=self.top_ranked)
         n = self.write(best, "reranked.parquet")
-        artifacts.append_cache(fresh, self.path("scores.parquet"))
+        artifacts.append_cache(fresh, self.scores)
         return n
 
     def result(self) -> DataFrame:
@@ -123,13 +133,16 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--work", required=True)
     for name, default in (("--top-retrieved", 5000), ("--top-ranked", 500), ("--top-result", 100), ("--rounds", 100)):
         p.add_argument(name, type=int, default=default)
+    p.add_argument("--vector-cache")
+    p.add_argument("--score-cache")
+    p.add_argument("--output", action="append", default=[], metavar="NAME=PATH", help="another place for an artefact, such as retrieved.parquet=PATH; may be repeated")
     p.add_argument("--keep-flagged", action="store_true")
     p.add_argument("--train-only", action="store_true")
     p.add_argument("--rank-only", action="store_true")
     a = p.parse_args(argv)
     from loomspark.session import get_session
 
-    Pipeline(get_session(), a.work, a.lines, a.need, a.top_retrieved, a.top_ranked, a.top_result, a.rounds, not a.keep_flagged).run(a.stage, a.train_only, a.rank_only)
+    Pipeline(get_session(), a.work, a.lines, a.need, a.top_retrieved, a.top_ranked, a.top_result, a.rounds, not a.keep_flagged, paths=dict(x.split("=", 1) for x in a.output), vectors=a.vector_cache, scores=a.score_cache).run(a.stage, a.train_only, a.rank_only)
 
 
 if __name__ == "__main__":

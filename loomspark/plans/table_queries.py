@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import coerce
 from loomspark.functions.text import SPACE, collapse, contains_any, tokens, word_match
-from loomspark.operators import checks, copies, features, joins, match, normalise, ranker, requirement, retrieval, scoring, traps, validate
+from loomspark.operators import checks, copies, features, joins, match, normalise, ranker, ranks, requirement, retrieval, scoring, traps, validate
 from loomspark.plans import assemble
 from loomspark.session import table
 
@@ -419,7 +419,7 @@ def jn_anti(spark, root):
 
 @query("ag_quantiles", "select o_orderstatus, round(quantile_cont(o_totalprice, 0.2), 6) as q20, round(quantile_cont(o_totalprice, 0.4), 6) as q40, round(quantile_cont(o_totalprice, 0.6), 6) as q60, round(quantile_cont(o_totalprice, 0.85), 6) as q85 from orders group by 1")
 def ag_quantiles(spark, root):
-    q = table(spark, root, "orders").groupBy("o_orderstatus").agg(F.percentile("o_totalprice", F.lit(ranker.QUANTILES)).alias("q"))
+    q = ranks.quantiles(table(spark, root, "orders"), "o_orderstatus", "o_totalprice", ranker.QUANTILES)
     return q.select("o_orderstatus", *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("q20", "q40", "q60", "q85"))])
 
 
@@ -562,7 +562,7 @@ def ml_relevance_bins(spark, root):
 @query("ml_lambdamart")
 def ml_lambdamart(spark, root):
     d = _judged(spark, root)
-    return ranker.rank(d, ranker.train(d, rounds=20))
+    return ranker.rank(d, ranker.train(d))
 
 
 @query("rr_rerank")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import logging
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +13,8 @@ from pyspark.sql import types as T
 from loomspark.operators.ranker import TreeRanker
 from loomspark.operators.requirement import Requirement
 
+log = logging.getLogger(__name__)
+
 
 def read_parquet(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     """SRC5."""
@@ -36,12 +40,19 @@ SCORE_CACHE = T.StructType([T.StructField("model", T.StringType()), T.StructFiel
 
 
 def read_cache(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """SRC8, SRC9: a cache table; an absent or unreadable one is empty, so that everything is computed again."""
+    """SRC8, SRC9: a cache table; an absent one is empty, so that everything is computed again.
+
+    A cache that is there but can't be read is reported and taken as empty; what keeps the file system from answering is
+    raised.
+    """
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
     try:
         df = spark.read.schema(schema).parquet(path)
         df.limit(1).collect()
         return df
-    except Exception:
+    except PySparkException as e:
+        log.warning("the cache at %s can't be read and is computed again: %s", path, e)
         return spark.createDataFrame([], schema)
 
 
@@ -51,9 +62,14 @@ def read_legacy_scores(spark: SparkSession, path: str) -> DataFrame:
     return m.select(F.explode("m").alias("candidate_id", "score"))
 
 
-def append_cache(new: DataFrame, path: str) -> None:
-    """SNK9, SNK10: new rows are appended; a failure is the caller's to ignore."""
-    new.write.mode("append").parquet(path)
+def append_cache(new: DataFrame, path: str) -> bool:
+    """SNK9, SNK10: new rows are appended; a failure is logged and costs the cache only. Returns whether they were."""
+    try:
+        new.write.mode("append").parquet(path)
+        return True
+    except (PySparkException, Py4JJavaError) as e:
+        log.warning("the cache at %s can't be written: %s", path, str(e).splitlines()[0])
+        return False
 
 
 def read_csv(spark: SparkSession, path: str, schema: str = "candidate_id string, rank int, score double, reasoning string") -> DataFrame:
@@ -116,9 +132,7 @@ def write_model(spark: SparkSession, model: TreeRanker, path: str) -> None:
 
 def read_model(spark: SparkSession, path: str) -> TreeRanker:
     """SRC14: FileNotFoundError if the model isn't there."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+    if not exists(spark, path):
         raise FileNotFoundError(path)
     return TreeRanker.from_json(read_text(spark, path))
 
@@ -128,10 +142,16 @@ def write_result_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").csv(path, header=True, escape='"', encoding="UTF-8")
 
 
-def require(*paths: str) -> None:
-    """ADM9: FileNotFoundError for the first local path that a stage lacks; other file systems are left to the reader."""
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path is there, on any file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def require(spark: SparkSession, *paths: str) -> None:
+    """ADM9: FileNotFoundError for the first path that a stage lacks."""
     for p in paths:
-        if "://" not in p and not os.path.exists(p):
+        if not exists(spark, p):
             raise FileNotFoundError(f"{p} is missing: run the stage that writes it first")
 
 

@@ -200,8 +200,8 @@ def report(lines: DataFrame) -> LoadReport:
 
 
 def error_samples(lines: DataFrame, most: int = 50) -> DataFrame:
-    """At most so many invalid lines with the rules they break."""
-    return lines.where("status = 'invalid'").select(F.substring("value", 1, 200).alias("line"), "errors").limit(most)
+    """At most so many invalid lines, whole, with their candidate id, if they have one, and the rules they break."""
+    return lines.where("status = 'invalid'").select(F.try_variant_get(F.try_parse_json("value"), "$.candidate_id", "string").alias("candidate_id"), F.col("value").alias("line"), "errors").limit(most)
 
 
 def require_rows(df: DataFrame, hint: str) -> DataFrame:

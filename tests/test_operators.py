@@ -276,4 +276,4 @@ def test_small_sources(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         artifacts.read_model(spark, str(tmp_path / "model.json"))
     with pytest.raises(FileNotFoundError):
-        artifacts.require(str(tmp_path / "gone"))
+        artifacts.require(spark, str(tmp_path / "gone"))
