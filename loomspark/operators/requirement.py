@@ -25,6 +25,7 @@ SKILLS = {
     "aws": "AWS", "gcp": "GCP", "azure": "Azure", "docker": "Docker", "kubernetes": "Kubernetes", "k8s": "Kubernetes", "terraform": "Terraform",
     "git": "Git", "mlflow": "MLflow", "kubeflow": "Kubeflow", "bentoml": "BentoML",
 }
+# Soft skills, industries and places looked for likewise.
 SOFT_SKILLS = {
     "communication": "Communication", "collaboration": "Collaboration", "leadership": "Leadership", "problem-solving": "Problem-solving",
     "problem solving": "Problem-solving", "teamwork": "Teamwork", "adaptability": "Adaptability", "creativity": "Creativity",
@@ -88,7 +89,7 @@ def _pattern(keyword: str) -> str:
 
 def tags(c: Column, names: dict[str, str]) -> Column:
     """JD6, JD9: sorted distinct names whose keyword stands in the lower-cased text."""
-    found = F.array(*[F.when(c.rlike(_pattern(k)), F.lit(v)) for k, v in names.items()])
+    found = F.array(*[F.when(F.contains(c, F.lit(k)) & c.rlike(_pattern(k)), F.lit(v)) for k, v in names.items()])
     return F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull())))
 
 

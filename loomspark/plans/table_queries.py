@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomspark.functions import coerce
-from loomspark.functions.text import SPACE, collapse, contains_any, tokens, word_match
-from loomspark.operators import checks, copies, features, joins, match, normalise, ranker, ranks, requirement, retrieval, scoring, traps, validate
+from loomspark.functions.text import SPACE, collapse, contains_any, tokens
+from loomspark.operators import checks, copies, features, joins, match, normalise, ranker, ranks, requirement, retrieval, scoring, traps
 from loomspark.plans import assemble
 from loomspark.session import table
 
@@ -221,9 +221,7 @@ def _tag_sql(names: dict[str, str]) -> str:
 
 @query("jd_dictionary_tags", f"select doc_id, coalesce({_tag_sql(_TAGS)}, '') as tags from documents")
 def jd_dictionary_tags(spark, root):
-    low = F.lower("text")
-    found = F.array(*[F.when(word_match(low, k), F.lit(v)) for k, v in _TAGS.items()])
-    return table(spark, root, "documents").select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull()))), ",").alias("tags"))
+    return table(spark, root, "documents").select("doc_id", F.array_join(F.coalesce(requirement.tags(F.lower("text"), _TAGS), F.array().cast("array<string>")), ",").alias("tags"))
 
 
 @query("jd_set_difference", f"select doc_id, array_to_string(list_filter(string_split(tags, ','), lambda x: x <> 'Banking' and x <> ''), ',') as tags from (select doc_id, coalesce({_tag_sql(_TAGS)}, '') as tags from documents)")
@@ -238,11 +236,6 @@ def jd_regex_cascade(spark, root):
     return table(spark, root, "documents").select("doc_id", y["lo"].alias("lo"), y["hi"].alias("hi"))
 
 
-@query("jd_parse")
-def jd_parse(spark, root):
-    return requirement.parse_requirements(table(spark, root, "documents"), "doc_id", "text")
-
-
 # ---- match features
 
 _REQ, _PREF = [s.lower() for s in NEED.required_skills], [s.lower() for s in NEED.preferred_skills]
@@ -565,14 +558,6 @@ def ml_lambdamart(spark, root):
     return ranker.rank(d, ranker.train(d))
 
 
-@query("rr_rerank")
-def rr_rerank(spark, root):
-    from loomspark.sources.artifacts import SCORE_CACHE
-
-    c = assemble.candidates(spark, root).select("candidate_id", "normalized_text")
-    return ranker.rerank(c.select("candidate_id"), c, QUERY, spark.createDataFrame([], SCORE_CACHE), top_k=100)[0]
-
-
 @query("rt_encode")
 def rt_encode(spark, root):
     from loomspark.sources.artifacts import VECTOR_CACHE
@@ -595,27 +580,6 @@ def fs_minmax(spark, root):
     return scoring.min_max(table(spark, root, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice").select("o_orderkey", "score")
 
 
-@query("fs_reasoning")
-def fs_reasoning(spark, root):
-    d = _judged(spark, root)
-    return d.select("candidate_id", scoring.reasoning(d).alias("reasoning"))
-
-
-def _final(spark, root) -> DataFrame:
-    d = _judged(spark, root)
-    return scoring.final_table(d, d.select("candidate_id", F.col("feat_skills_match_score").alias("score")), 100)
-
-
-@query("fs_final_table")
-def fs_final_table(spark, root):
-    return _final(spark, root)
-
-
-@query("va_report")
-def va_report(spark, root):
-    return validate.table_report(_final(spark, root), assemble.candidates(spark, root))
-
-
 @query("st_stream_ingest")
 def st_stream_ingest(spark, root):
     import uuid
