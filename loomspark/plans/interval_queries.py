@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.operators.intervals import employment_periods
-from loomspark.operators.nested import children, flat_tables
+from loomspark.operators.nested import CAREER_FIELDS, SKILL_FIELDS, children, flat_tables
 from loomspark.session import table
 
 
@@ -39,8 +39,7 @@ def _array(x: str) -> str:
     return f"case json_type({x}) when 'ARRAY' then cast({x} as json[]) when 'OBJECT' then [{x}] else cast([] as json[]) end"
 
 
-SQL = {
-    "p4_found": f"""
+_CHILDREN = f"""
 with r as (select raw_id, cast(payload as json) as j from raw_candidates where json_valid(payload)),
 o as (select * from r where json_type(j) = 'OBJECT' and regexp_matches(coalesce(j ->> '$.candidate_id', ''), '[^\\s]')),
 b as (select raw_id, {_unwrapped("(j -> '$.career_history')")} as career, {_unwrapped("(j -> '$.skills')")} as skills, {_unwrapped("(j -> '$.redrob_signals')")} as s1, {_unwrapped("(j -> '$.signals')")} as s2 from o),
@@ -49,12 +48,26 @@ c as (select raw_id, 'career' as child, {_array("career")} as a from s union all
 e as (select raw_id, child, i, a[i + 1] as x from c, unnest(range(len(a))) as t(i)),
 u as (select raw_id, child, i, {_unwrapped("x")} as x from e),
 m as (select raw_id, {_unwrapped("(sig -> '$.skill_assessment_scores')")} as scores, {_unwrapped("(sig -> '$.expected_salary_range_inr_lpa')")} as pay from s where json_type(sig) = 'OBJECT')
+"""
+
+
+def _fields(x: str, names) -> str:
+    return ", ".join(f"{x} ->> '$.{n}' as {n}" for n in names)
+
+
+SQL = {
+    "p4_found": _CHILDREN + """
 select raw_id, child, cast(i as varchar) as child_key from u where json_type(x) = 'OBJECT' and (child = 'career' or regexp_matches(coalesce(x ->> '$.name', ''), '[^\\s]'))
 union all
 select raw_id, 'assessment', k from (select raw_id, scores, unnest(json_keys(scores)) as k from m where json_type(scores) = 'OBJECT') where json_type(json_extract(scores, '$."' || k || '"')) <> 'NULL'
 union all
 select raw_id, 'salary', '0' from m where json_type(pay) = 'OBJECT' and (coalesce(json_type(pay -> '$.min'), 'NULL') <> 'NULL' or coalesce(json_type(pay -> '$.max'), 'NULL') <> 'NULL')
 """,
+    "p4_career": _CHILDREN + f"select raw_id, cast(i as varchar) as ordinal, {_fields('x', CAREER_FIELDS)} from u where json_type(x) = 'OBJECT' and child = 'career'",
+    "p4_skill": _CHILDREN + f"select raw_id, cast(i as varchar) as ordinal, {_fields('x', SKILL_FIELDS)} from u where json_type(x) = 'OBJECT' and child = 'skill' and regexp_matches(coalesce(x ->> '$.name', ''), '[^\\s]')",
+    "p4_assessment": _CHILDREN + """
+select raw_id, k as ordinal, json_extract_string(scores, '$."' || k || '"') as value from (select raw_id, scores, unnest(json_keys(scores)) as k from m where json_type(scores) = 'OBJECT') where json_type(json_extract(scores, '$."' || k || '"')) <> 'NULL'""",
+    "p4_salary": _CHILDREN + f"select * from (select raw_id, '0' as ordinal, {_fields('pay', ('min', 'max'))} from m where json_type(pay) = 'OBJECT') where min is not null or max is not null",
     "p5_found": """
 with e as (
   select candidate_id, start_date as a, case when is_current then date '2026-06-21' else end_date end as b from career_entries

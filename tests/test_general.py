@@ -6,9 +6,11 @@ import random
 
 import pytest
 from compare import compare, connect
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from loomspark.operators.intervals import employment_periods, periods_and_gaps
-from loomspark.operators.nested import CAREER_FIELDS, Layout, children, flat_tables, parse_record
+from loomspark.operators.nested import CAREER_FIELDS, Layout, Scanner, ancestors_found, children, flat_tables, parse_record, pivot_group, triples
 from loomspark.streaming import ingest
 
 DAY = dt.date(2026, 6, 21)
@@ -92,6 +94,48 @@ def test_parse_record_edges():
     assert parse_record('{"candidate_id":"C","candidate_id":"D"}', lay)[0][3] == "D"
 
 
+def test_third_level_has_tables_and_parents(spark):
+    jobs = [{"company": "X", "projects": [{"name": "p", "tags": ["a", None, "b"]}, 5, {"name": "q", "lead": {"first": "L"}}]}, {"company": "Y", "projects": []}]
+    df = spark.createDataFrame([(7, line(career_history=jobs, redrob_signals={"log": [[1, 2], [3]]}))], "raw_id bigint, payload string")
+    t = triples(df)
+    got = {(r["ancestor"], r["ordinal"], r["path"]): r["value"] for r in t.collect()}
+    assert got["career_history.projects", "0/0", "name"] == "p" and got["career_history.projects", "0/2", "lead.first"] == "L" and got["career_history.projects", "0/1", "="] == "5"
+    assert got["career_history.projects.tags", "0/0/2", "="] == "b" and got["career_history.projects.tags", "0/0/1", "="] is None
+    assert got["redrob_signals.log[]", "0/1", "="] == "2" and got["redrob_signals.log[]", "1/0", "="] == "3" and got["career_history", "1", "projects"] == "[]"
+    projects = sorted((r["ordinal"], r["name"]) for r in pivot_group(t, "career_history.projects", ["name"]).collect())
+    assert projects == [("0/0", "p"), ("0/2", "q")]
+    found = {r["ancestor"]: (r["parent"], r["depth"]) for r in ancestors_found(t).collect()}
+    assert found["career_history.projects"] == ("career_history", 2) and found["career_history.projects.tags"] == ("career_history.projects", 3) and found["career_history"] == ("", 1)
+
+
+def test_depth_and_length_cost_nothing(spark):
+    deep = '{"candidate_id": "C", "x": ' + "[" * 50_000 + "]" * 50_000 + ', "n": ' + "9" * 6000 + ', "skills": [{"name": "A", "y": ' + '{"z":' * 30_000 + "1" + "}" * 30_000 + ', "endorsements": ' + "8" * 5000 + "}]}"
+    df = spark.createDataFrame([(1, deep), (2, deep[:-1])], "raw_id bigint, payload string")
+    assert [tuple(r) for r in children(df).collect()] == [(1, "skill", "0")]
+    assert [len(r["endorsements"]) for r in flat_tables(df)["skill"].collect()] == [5000]
+
+
+@pytest.mark.parametrize("text", ["[1,]", "{,}", '{"a" 1}', '{"a":01}', "[1 2]", '["\n"]', "[+1]", "[.5]", "tru", "[1]]", "", '{"a":1,}', "[\u00a01]", '"\\x"'])
+def test_broken_json_is_refused(text):
+    with pytest.raises(ValueError):
+        json.loads(text)
+    assert parse_record('{"candidate_id":"C","x":' + text + "}", Layout()) is None and parse_record('{"candidate_id":"C","skills":' + text + "}", Layout(), frozenset({"skills"})) is None
+
+
+@given(st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | st.text(max_size=5), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text(max_size=4), x, max_size=4), max_leaves=20))
+@settings(max_examples=150, deadline=None)
+def test_events_read_all_json(value):
+    text = json.dumps(value, indent=1)
+    x, seen = Scanner(text), []
+    while (e := x.next())[0] != ".":
+        seen.append(e)
+    leaves = lambda v: sum(map(leaves, v.values())) if isinstance(v, dict) else sum(map(leaves, v)) if isinstance(v, list) else 1
+    assert sum(e[0] in "sa" for e in seen) == leaves(value)
+    y = Scanner(text)
+    y.skip()
+    assert y.next()[0] == "."
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.jsonl").write_text('{"candidate_id":"A"}\n{bad}\n\n{"candidate_id":"B"}\n')
@@ -123,9 +167,9 @@ def test_pipeline(spark, root, tmp_path):
 
 
 def _core():
-    from loomspark.plans import interval_queries, table_queries
+    from loomspark.plans import interval_queries, stage_queries, table_queries
 
-    return {**table_queries.QUERIES, **interval_queries.QUERIES}, {**table_queries.SQL, **interval_queries.SQL}
+    return {**table_queries.QUERIES, **stage_queries.QUERIES, **interval_queries.QUERIES}, {**table_queries.SQL, **stage_queries.SQL, **interval_queries.SQL}
 
 
 @pytest.fixture(scope="module")
