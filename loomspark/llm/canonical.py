@@ -33,11 +33,11 @@ MANY = 500
 # Usual short forms in job titles and skills.
 SHORT = {
     "sr": "senior", "snr": "senior", "sen": "senior", "jr": "junior", "jnr": "junior", "ld": "lead",
-    "eng": "engineer engineering", "engr": "engineer", "engg": "engineering engineer", "dev": "developer", "devlpr": "developer",
+    "eng": "engineer engineering", "engr": "engineer", "engg": "engineering engineer", "dev": "developer",
     "mgr": "manager", "mngr": "manager", "mgmt": "management", "admin": "administrator administration", "adm": "administrator",
     "db": "database", "ux": "userexperience", "sw": "software", "softw": "software", "sys": "systems", "ops": "operations",
-    "prod": "product", "tech": "technical", "fin": "financial", "mktg": "marketing", "sci": "scientist", "rsrch": "research",
-    "anlst": "analyst", "supvr": "supervisor", "coord": "coordinator", "spec": "specialist", "splst": "specialist", "archt": "architect", "arch": "architect", "conslt": "consultant", "scntst": "scientist",
+    "prod": "product", "tech": "technical", "fin": "financial", "mktg": "marketing", "sci": "scientist",
+    "anlst": "analyst", "coord": "coordinator", "spec": "specialist", "archt": "architect", "arch": "architect",
     "sre": "sitereliabilityengineer", "ir": "informationretrieval", "ci": "continuousintegration", "nlp": "naturallanguageprocessing",
 }
 # Words that say how a post or skill is held, not which one it is.
@@ -195,6 +195,11 @@ class Canonicaliser:
         self.prefixes = Prefixes(spell)
         self.words = {w for r in roles.values() for w in r} | self.levels
         self.word_index = DeleteIndex(dict.fromkeys(self.words))
+        holding: dict[tuple[str, str], set[str]] = defaultdict(set)
+        for w in self.words:
+            for x in set(w[1:]):
+                holding[w[0], x].add(w)
+        self.holding = {k: frozenset(v) for k, v in holding.items()}
         self.most_words = max(map(len, roles.values()), default=0)
         self.initials: dict[str, set[str]] = defaultdict(set)
         self.whole_initials: dict[str, set[str]] = defaultdict(set)
@@ -208,6 +213,12 @@ class Canonicaliser:
         self._expanded: dict[str, list[tuple[float, str]]] = {}
         self._windows: dict[str, tuple | None] = {}
 
+    def longer(self, word: str) -> Iterable[str]:
+        """Words that begin with the same letter and hold the others: those that ``word`` may shorten are among them."""
+        held = [self.holding.get((word[0], x), frozenset()) for x in set(word[1:])]
+        held.sort(key=len)
+        return frozenset.intersection(*held) if held else ()
+
     def level(self, word: str) -> str | None:
         if word in self.levels:
             return word
@@ -249,9 +260,15 @@ class Canonicaliser:
             for w, s in self.word_index.near(word):
                 add(s, w)
             if len(word) >= 3 and min(out.values(), default=9.0) > 0.8:
-                for s in self.words:
+                for s in self.longer(word):
                     if shortens(word, s):
                         add(s, 0.8 + 0.2 * (1 - len(word) / len(s)))
+            if len(word) >= 5 and not out:
+                # a short form with a slip: one of its letters isn't the word's
+                for t in {word[:i] + word[i + 1 :] for i in range(1, len(word))}:
+                    for s in self.longer(t):
+                        if shortens(t, s) and 2 * len(t) >= 0.8 * len(s):
+                            add(s, 1.8 + 0.2 * (1 - len(t) / len(s)))
             if deep and not out and len(word) >= 5:
                 for i in range(2, len(word) - 2):
                     left = self.expand(word[:i], False)
