@@ -38,12 +38,8 @@ LEGAL = {"inc": "inc", "incorporated": "inc", "llp": "llp", "ltd": "ltd", "limit
 FILLERS = {"the", "of", "and", "for", "at", "m", "s", "ms", "messrs"}
 SAME_KIND = {"technology": "technologies", "science": "sciences", "consultants": "consulting", "laboratories": "labs", "pharmaceuticals": "pharma"}
 
-# Usual short forms of kinds.
-SHORT_KINDS = {
-    "anlytcs": "analytics", "conslt": "consulting", "hldgs": "holdings", "ind": "industries", "inds": "industries", "logstcs": "logistics", "netwks": "networks", "softw": "software",
-    "soln": "solutions", "solns": "solutions", "svcs": "services", "sys": "systems", "systms": "systems", "tech": "technologies", "technol": "technologies", "engg": "engineering",
-    "coll": "college", "inst": "institute", "sch": "school", "uni": "university", "univ": "university",
-}
+# Usual short forms of kinds; others are recognised by rule.
+SHORT_KINDS = {"ind": "industries", "inds": "industries", "solns": "solutions", "soln": "solutions", "svcs": "services", "sys": "systems", "tech": "technologies", "engg": "engineering", "coll": "college", "inst": "institute", "sch": "school", "uni": "university", "univ": "university"}
 
 LEAST = -9.5
 """Log-likelihood below which a variant is taken to be a name of its own."""
@@ -89,10 +85,6 @@ def kind_of(word: str) -> str | None:
         return SAME_KIND.get(word, word)
     if word in SHORT_KINDS:
         return SHORT_KINDS[word]
-    if len(word) >= 5:
-        slips = [k for k in SHORT_KINDS if len(k) >= 5 and distance(word, k, 1) <= 1]
-        if slips:
-            return SHORT_KINDS[slips[0]]
     if len(word) >= 3:
         # of several kinds that the word may abbreviate the one that keeps most of it: the longest common beginning, then the shortest
         fits = [k for k in KINDS if shortens(word, k) and (len(word) < 6 or word[:3] == k[:3] or len(word) >= 0.6 * len(k))]
@@ -103,11 +95,26 @@ def kind_of(word: str) -> str | None:
             return "engineering"
     if len(word) >= 5:
         near = [k for k in KINDS if distance(word, k, 1) <= 1]
+        # a short form with a slip: one of its letters isn't the kind's
+        near = near or sorted({k for t in _one_less(word) for k in KINDS if _keeps(t, k)}, key=lambda k: (-_common(word, k), len(k), k))
         if near:
             return SAME_KIND.get(near[0], near[0])
     return None
 
 
+def _one_less(word: str) -> set[str]:
+    return {word[:i] + word[i + 1 :] for i in range(1, len(word))}
+
+
+def _consonants(word: str) -> int:
+    return sum(x not in "aeiou" for x in word)
+
+
+def _keeps(short: str, full: str) -> bool:
+    """Whether a short form keeps so much of the word that it hardly stands for another: half of its letters and most of its consonants."""
+    return shortens(short, full) and 2 * len(short) >= len(full) and _consonants(short) >= 0.7 * _consonants(full)
+
+
 @lru_cache(100_000)
 def legal_slip(word: str) -> str | None:
     """The long legal form that the word is with one slip."""
@@ -116,8 +123,8 @@ def legal_slip(word: str) -> str | None:
 
 @lru_cache(100_000)
 def near_kind(word: str) -> bool:
-    """Whether the word is a kind or a usual short form with one slip."""
-    return len(word) >= 5 and any(len(k) >= 5 and distance(word, k, 1) <= 1 for k in (*KINDS, *SHORT_KINDS))
+    """Whether the word is a kind with one slip, or keeps most of one, a slip in it allowed."""
+    return len(word) >= 5 and any(distance(word, k, 1) <= 1 or any(_keeps(t, k) for t in (word, *_one_less(word))) for k in KINDS)
 
 
 def _common(a: str, b: str) -> int:
