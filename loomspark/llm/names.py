@@ -6,15 +6,16 @@ The posterior of a candidate is its frequency prior times the likelihood that ty
 turned its words into the variant's; a variant is attached to the candidate of the largest posterior if the likelihood is
 above that of an unrelated name. Attachments are followed to their roots.
 
-Blocks are drawn from a name's rare words together with the first or last letter of its other word, so that neither an
-employer with a tenth of all rows nor a common word makes a large block: rows are counted before anything is paired.
+Blocks are drawn from a name's words together with the first or last letter of its other word. Rows are counted before
+anything is paired, so that an employer with a tenth of all rows is one form; of a block that a common word makes large
+the pairs are ruled out by their letters in the join, which adaptive skew joins split.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -260,6 +261,19 @@ def blocks(core: tuple[str, ...], meant: bool) -> set[str]:
     return out
 
 
+def letters(core: Iterable[str]) -> int:
+    """The letters of a name as a set of 64 bits.
+
+    Whatever the likelihood allows (slips of two letters, initials, short forms, joining, another order), at most two
+    letters of a variant aren't the meant name's: pairs of other forms needn't be scored.
+    """
+    out = 0
+    for word in core:
+        for x in word:
+            out |= 1 << (ord(x) % 64)
+    return out - (1 << 64) if out >> 63 else out
+
+
 _PARSED = "name string, n bigint, form string, core array<string>, kinds array<string>, legal array<string>"
 
 
@@ -271,8 +285,8 @@ def _parse_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _block_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = [(k, meant, f) for f, c in zip(b["form"], b["core"], strict=True) for meant in (False, True) for k in sorted(blocks(tuple(c), meant))]
-        yield pd.DataFrame(rows, columns=["block", "meant", "form"])
+        rows = [(k, meant, f, letters(c)) for f, c in zip(b["form"], b["core"], strict=True) for meant in (False, True) for k in sorted(blocks(tuple(c), meant))]
+        yield pd.DataFrame(rows, columns=["block", "meant", "form", "letters"])
 
 
 def _score_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -283,17 +297,19 @@ def _score_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out[out["likelihood"] > LEAST]
 
 
-def attributions(names: DataFrame) -> DataFrame:
-    """Rows (form, canonical, posterior): the best earlier form of each form that has one.
+def attributions(names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(best, parsed): rows (form, canonical, posterior), the best earlier form of each form that has one, and the parsed names.
 
     ``names``: name, n. The prior of a candidate is its share of all rows, as a logarithm; ties go to the smaller form.
     """
     parsed = materialise(names.mapInPandas(_parse_all, _PARSED))
     rep = F.max_by(F.struct("core", "kinds", "legal"), F.struct("n", "name"))
     forms = materialise(parsed.groupBy("form").agg(F.sum("n").alias("n"), rep.alias("r")).select("form", "n", "r.*"))
-    blocked = materialise(forms.mapInPandas(_block_all, "block string, meant boolean, form string"))
-    said, meant = blocked.where("not meant").select("block", "form"), blocked.where("meant").select("block", F.col("form").alias("form2"))
-    both = said.join(meant, "block").where("form <> form2").select("form", "form2").distinct()
+    blocked = materialise(forms.mapInPandas(_block_all, "block string, meant boolean, form string, letters bigint"))
+    said, meant = blocked.where("not meant").select("block", "form", "letters"), blocked.where("meant").select("block", F.col("form").alias("form2"), F.col("letters").alias("letters2"))
+    # a block of a common word pairs many forms: most are ruled out by their letters, before anything is shuffled or scored
+    strange = F.bit_count(F.col("letters").bitwiseAND(F.bitwise_not("letters2")))
+    both = said.join(meant, "block").where((F.col("form") != F.col("form2")) & (strange <= 2)).select("form", "form2").distinct()
     other = forms.select(*(F.col(c).alias(f"{c}2") for c in forms.columns))
     full = lambda c: F.aggregate(c, F.lit(0), lambda s, w: s + F.length(w))
     rank = lambda n, c, f: F.struct(F.col(n).alias("n"), full(c).alias("l"), F.col(f).alias("f"))
@@ -308,20 +324,24 @@ def attributions(names: DataFrame) -> DataFrame:
 
 
 def organisation_classes(names: DataFrame) -> DataFrame:
-    """Rows (name, class_id, canonical) of all distinct spellings.
+    """Rows (name, class_id, canonical, links) of all distinct spellings.
 
     ``names``: one column ``name``, rows as stored, repeated as often as they occur. Null and blank names are left out;
     strings count exactly as stored; a name that nothing explains is a class of its own. ``canonical`` is the most
-    frequent spelling of the class (of equal ones the smallest).
+    frequent spelling of the class (of equal ones the smallest); ``links`` counts the other spellings of the name's form and
+    the forms that it is attached to or that are attached to it.
     """
     from loomspark.functions.text import is_blank
 
     counts = names.where(~is_blank(F.col("name"))).groupBy("name").agg(F.count("*").alias("n"))
     best, parsed = attributions(counts)
-    comp = components(materialise(best.select(F.col("form").alias("a"), F.col("canonical").alias("b"))))
-    placed = parsed.join(comp, parsed["form"] == comp["node"], "left").select("name", "n", F.coalesce("component", "form").alias("class_id"))
+    edges = materialise(best.select(F.col("form").alias("a"), F.col("canonical").alias("b")))
+    comp = components(edges)
+    ends = edges.select(F.explode(F.array("a", "b")).alias("form")).groupBy("form").agg(F.count("*").alias("attached"))
+    spelled = parsed.groupBy("form").agg((F.count("*") - 1).alias("spelled"))
+    placed = parsed.join(comp, parsed["form"] == comp["node"], "left").join(spelled, "form").join(ends, "form", "left").select("name", "n", F.coalesce("component", "form").alias("class_id"), (F.col("spelled") + F.coalesce("attached", F.lit(0))).alias("links"))
     named = placed.groupBy("class_id").agg(F.min_by("name", F.struct(-F.col("n"), "name")).alias("canonical"))
-    return placed.join(named, "class_id").select("name", "class_id", "canonical")
+    return placed.join(named, "class_id").select("name", "class_id", "canonical", "links")
 
 
 def pool(career: DataFrame, candidates: DataFrame, education: DataFrame) -> DataFrame:

@@ -236,6 +236,38 @@ def test_names(spark):
     assert names.name_pairs(df.limit(0)).count() == 0
 
 
+def test_letters_rule_out_no_likely_pair():
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvwxyz") for _ in range(rng.randint(4, 10)))
+    likely = 0
+    for _ in range(20_000):
+        core = [word() for _ in range(rng.choice([1, 2, 2, 2, 3]))]
+        said = list(core)
+        for _ in range(rng.randint(1, 3)):
+            k = rng.randrange(len(said))
+            w = said[k]
+            i = rng.randrange(len(w)) if w else 0
+            said[k] = rng.choice([w[:1], w[: rng.randint(1, 4)], w[:i] + w[i + 1 :], w[:i] + rng.choice("qxyz") + w[i:], w[:i] + "q" + w[i + 1 :], w[:1] + "".join(x for x in w[1:] if x not in "aeiou"), w])
+        if rng.random() < 0.3:
+            said = ["".join(said)] if rng.random() < 0.5 else said[::-1]
+        v, c = (tuple(x for x in said if x), (), ()), (tuple(core), (), ())
+        if v[0] and names.likelihood(v, c) > names.LEAST:
+            likely += 1
+            assert ((names.letters(v[0]) & ~names.letters(c[0])) & ((1 << 64) - 1)).bit_count() <= 2
+    assert likely > 2000
+
+
+def test_a_common_word_makes_no_large_work(spark):
+    rng = random.Random(5)
+    other = ["".join(rng.choice("abcdefghilmnoprstuv") for _ in range(9)) for _ in range(3000)]
+    rows = [(f"Global X{w}",) for w in other for _ in range(2)] + [(f"Global X{other[0][:4]}{other[0][5:]}",), (f"X{other[1]}, Global",)]
+    got = {tuple(r) for r in names.name_pairs(spark.createDataFrame(rows, "name string")).collect()}
+    want = {tuple(sorted((f"Global X{other[0]}", rows[-2][0]))), tuple(sorted((f"Global X{other[1]}", rows[-1][0])))}
+    assert want <= got and len(got) < 60
+    links = {r["name"]: r["links"] for r in names.organisation_classes(spark.createDataFrame(rows[:2] + rows[-2:-1], "name string")).collect()}
+    assert links == {rows[0][0]: 1, rows[-2][0]: 1}
+
+
 @given(st.text("abc", max_size=6), st.text("abc", max_size=6))
 @settings(max_examples=200, deadline=None)
 def test_distances_agree(a, b):
