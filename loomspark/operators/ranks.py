@@ -35,4 +35,5 @@ def quantiles(df: DataFrame, group: str, score: str, shares: list[float], name:
     ends = ends.withColumn("_r", F.col("_first") + F.col("_k"))
     weight = F.when(F.col("_k") == F.col("_p"), 1.0).otherwise(1.0 - F.abs(F.col("_k") - F.col("_p")))
     each = rows.join(ends, "_r").groupBy(group, "_i").agg(F.sum(weight * F.col(score)).alias("_v"))
-    return each.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda x: x["_v"]).alias(name))
+    # a row a group: written, so that plans that join it stay short
+    return materialise(each.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda x: x["_v"]).alias(name)))
