@@ -557,6 +557,64 @@ def test_fuzzy_passages_of_planted_pairs(spark):
     assert spans.fuzzy_passages(df.limit(0)).count() == 0
 
 
+def brute_stretches(x, y, k):
+    """Longest equal stretches (place in x, place in y, size) of at least k characters."""
+    out = []
+    for d in range(-len(y) + 1, len(x)):
+        i, end = max(0, d), min(len(x), len(y) + d)
+        while i < end:
+            j = i
+            while j < end and x[j] == y[j - d]:
+                j += 1
+            if j - i >= k:
+                out.append((i, i - d, j - i))
+            i = j + 1
+    return out
+
+
+def brute_linked(x, y, span, k):
+    """Whether stretches that follow each other, at most span - k characters apart, make a passage of span characters on both sides."""
+    m = sorted(brute_stretches(x, y, k))
+    starts = [{(a, b)} for a, b, _ in m]
+    for i, (a, b, _) in enumerate(m):
+        for j, (c, d, n) in enumerate(m[:i]):
+            if all(0 <= g <= span - k for g in (a - c - n, b - d - n)):
+                starts[i] |= starts[j]
+    return any(a + n - c >= span and b + n - d >= span for (a, b, n), s in zip(m, starts, strict=True) for c, d in s)
+
+
+def test_fuzzy_passages_of_all_partners(spark):
+    """Every two documents with a passage are a pair: however many have it, with changes closer than a span, and copies too."""
+    rng = random.Random(29)
+    noise = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    hot, parts = noise(45), [noise(rng.randint(13, 22)) for _ in range(9)]
+    docs = [(d, noise(rng.randint(5, 20)) + hot + noise(rng.randint(0, 20))) for d in range(12)]
+    docs += [(20 + d, noise(rng.randint(0, 9)) + "".join(rng.choice(parts) + noise(rng.choice((0, 1, 3, 30))) for _ in range(rng.randint(1, 4)))) for d in range(40)]
+    docs += [(70, docs[3][1]), (71, docs[3][1]), (15, docs[20][1]), (72, noise(40)), (73, docs[-1][1] if (alone := noise(50)) else ""), (74, alone), (75, alone), (76, None), (77, "")]
+    docs += [(80, "*" * 90), (81, noise(9) + "*" * 50 + hot), (82, "ab" * 40 + parts[0]), (83, noise(7) + "ab" * 25)]
+    docs += [(90, parts[0] + "X" + parts[1] + "Y" + parts[2]), (91, parts[0] + "ZZ" + parts[1] + parts[2])]
+    texts = {d: t or "" for d, t in docs}
+    want = {(x, y) for x in texts for y in texts if x < y and min(len(texts[x]), len(texts[y])) >= 30 and (texts[x] == texts[y] or brute_linked(texts[x], texts[y], 30, 12))}
+    assert {(x, y) for x in range(12) for y in range(x + 1, 12)} | {(3, 70), (3, 71), (70, 71), (74, 75), (80, 81), (82, 83), (90, 91)} <= want
+    df = spark.createDataFrame([*docs, docs[3], docs[3]], "doc_id bigint, text string")
+    results = [sorted(tuple(r) for r in spans.fuzzy_passages(df, span=30, k=12, few=few).collect()) for few in (512, 3)]
+    assert results[0] == results[1] and len(results[0]) == len(set(results[0]))
+    assert want <= {r[:2] for r in results[0]}
+    for a, b, i, j, m, n, anchors, changes, identity in results[0]:
+        x, y = texts[a][i:j], texts[b][m:n]
+        assert a < b and len(x) == j - i >= 30 <= n - m == len(y) and anchors > 0
+        assert spans.edits(x, y) <= changes and identity == round(1 - changes / max(len(x), len(y)), 6)
+        assert (a, b) in want or anchors > 1
+    assert (74, 75, 0, 50, 0, 50, 1, 0, 1.0) in results[0]
+
+
+def test_places_of_runs():
+    assert spans.run_pairs([5], [1, 2, 3]) == [(5, 1), (5, 2), (5, 3)]
+    assert spans.run_pairs([0, 4], [9, 11]) == [(0, 9), (0, 11), (4, 9), (4, 11)]
+    got = spans.run_pairs(list(range(100, 0, -1))[::-1], list(range(7)))
+    assert {b for _, b in got} == set(range(7)) and {a for a, _ in got} == set(range(1, 101)) and {(1, 0), (100, 6)} <= set(got) and len(got) < 110
+
+
 def places(df):
     out = defaultdict(set)
     for r in df.collect():
