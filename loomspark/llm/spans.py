@@ -444,11 +444,13 @@ def _run_texts(k: int, s: int):
         for whole in batches:
             for lo in range(0, whole.num_rows, 64):
                 batch = whole.slice(lo, 64)
-                docs, lists = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-                out = [(x["h"], x["n"], d, x["first"], x["last"], min(x["first"], k - s), t[max(0, x["first"] - k + s) : x["last"] + k]) for d, t, m in zip(docs, batch.column(1).to_pylist(), lists, strict=True) for x in m]
-                cols = list(zip(*out, strict=True)) if out else [()] * 7
-                types = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["h", "n", "doc", "first", "last", "at", "text"])
+                lists = batch.column(2)
+                flat, of = lists.flatten(), np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
+                first, last = (np.asarray(flat.field(c)) for c in (2, 3))
+                texts = batch.column(1).to_pylist()
+                cut = [texts[i][a:b] for i, a, b in zip(of.tolist(), np.maximum(first - (k - s), 0).tolist(), (last + k).tolist(), strict=True)]
+                cols = [flat.field(0), flat.field(1), batch.column(0).take(pa.array(of)), flat.field(2), flat.field(3), pa.array(np.minimum(first, k - s).astype(np.int32)), pa.array(cut, pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, names=["h", "n", "doc", "first", "last", "at", "text"])
 
     return rows
 
@@ -484,6 +486,14 @@ def _runs_matched(k: int, s: int):
     of code points, so that the pairs of all its lists are compared together.
     """
     ahead = np.arange(k - s)
+    half = (k - s + 1) // 2
+    weights = mix(np.arange(1, half + 1, dtype=np.uint64)) | np.uint64(1)
+
+    def keys(cp: np.ndarray, at: np.ndarray, enough: np.ndarray) -> np.ndarray:
+        """Hashes of the ``half`` characters from each place, different ones where there aren't enough."""
+        with np.errstate(over="ignore"):
+            found = (mix(cp[np.clip(at[:, None] + ahead[:half], 0, len(cp) - 1)].astype(np.uint64)) * weights).sum(axis=1, dtype=np.uint64)
+        return np.where(enough, found, np.arange(len(at), dtype=np.uint64))
 
     def agreement(cp: np.ndarray, x: np.ndarray, y: np.ndarray, step: int, most: np.ndarray) -> np.ndarray:
         same = cp[np.clip(x[:, None] + step * ahead, 0, len(cp) - 1)] == cp[np.clip(y[:, None] + step * ahead, 0, len(cp) - 1)]
@@ -509,6 +519,9 @@ def _runs_matched(k: int, s: int):
             more = np.flatnonzero(last > first)
             places = {i: _places(texts[i], int(at[i]), int(at[i] + last[i] - first[i]), s) for i in more.tolist()}
             many = last > first
+            # k - s characters around a seed are half of them on one side at least
+            u = starts + at
+            before, behind = keys(cp, u - half, at >= half), keys(cp, u + s, ends - u - s >= half)
             # each run with the later ones of its list
             later = np.searchsorted(group, group, side="right") - np.arange(len(group)) - 1
             step = max(1, PAIRS // max(1, int(later.max())))
@@ -516,7 +529,7 @@ def _runs_matched(k: int, s: int):
                 n = later[lo : lo + step]
                 x = np.repeat(np.arange(lo, lo + len(n)), n)
                 y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
-                ok = (doc[x] != doc[y]) & ((side[x] == 2) | (side[x] != side[y]))
+                ok = (doc[x] != doc[y]) & ((side[x] == 2) | (side[x] != side[y])) & (many[x] | many[y] | (before[x] == before[y]) | (behind[x] == behind[y]))
                 x, y = x[ok], y[ok]
                 px, py = at[x], at[y]
                 long = many[x] | many[y]
@@ -548,8 +561,9 @@ def all_matches(rows: DataFrame, spare: DataFrame, k: int, s: int, few: int) ->
     The places of a seed are compared in blocks of about ``few``, every two blocks in a task of their own.
     """
     seeds = rows.mapInArrow(_run_rows(k, s), "h bigint, doc bigint, v bigint, first int, last int").join(spare, ["doc", "v"], "left_anti")
-    seeds = materialise(seeds.groupBy("h", "doc", "v", "first").agg(F.max("last").alias("last")))
-    classes = seeds.groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("h", "n")
+    # one exchange by the seed serves repeated rows, classes and their join, as both sides have all its columns and conditions
+    seeds = seeds.where("h is not null and doc is not null and v is not null").repartition("h").groupBy("h", "doc", "v", "first").agg(F.max("last").alias("last"))
+    classes = seeds.groupBy("h").agg(F.count("last").alias("n"), F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("h", "n")
     lists = seeds.join(classes, "h").groupBy("doc", "v").agg(F.collect_list(F.struct("h", "n", "first", "last")).alias("m"))
     runs = rows.join(lists, ["doc", "v"]).select("doc", "text", "m").mapInArrow(_run_texts(k, s), "h bigint, n bigint, doc bigint, first int, last int, at int, text string")
     blocks = F.ceil(F.col("n") / few)
@@ -582,7 +596,8 @@ def gap_edits(aligned: DataFrame, rows: DataFrame, spare: DataFrame) -> DataFram
     key = ["a", "b", "a_start", "a_end", "b_start", "b_end"]
     gaps = aligned.select(*key, F.explode("gaps").alias("g"))
     sides = [gaps.select(F.col(c).alias("doc"), F.struct(F.col(f"g.{c}0").alias("lo"), F.col(f"g.{c}1").alias("hi")).alias("p")) for c in "ab"]
-    lists = sides[0].unionByName(sides[1]).groupBy("doc").agg(F.collect_set("p").alias("m"))
+    # stored, so that its size is known before the texts are joined
+    lists = materialise(sides[0].unionByName(sides[1]).groupBy("doc").agg(F.collect_set("p").alias("m")))
     read = rows.join(lists, "doc").select("doc", "v", "text", "m").mapInArrow(_pieces_read(), "doc bigint, v bigint, lo int, hi int, piece string")
     pieces = read.join(spare, ["doc", "v"], "left_anti").groupBy("doc", "lo", "hi").agg(F.min("piece").alias("piece"))
     of = lambda c: pieces.select(F.col("doc").alias(c), F.col("lo").alias(f"{c}0"), F.col("hi").alias(f"{c}1"), F.col("piece").alias(f"{c}_text"))
